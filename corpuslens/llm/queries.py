@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import exact_dedup, mixing, substring_dedup, suffix_dedup
+from corpuslens.llm import ann, exact_dedup, mixing, secrets, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,31 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.findings(docs, secrets.scan(docs)))
+
+
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_exact_dedup": op1_exact_dedup, "op2_mix_sources": op2_mix_sources, "op3_substring_dedup": op3_substring_dedup, "op7_suffix_dedup": op7_suffix_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_mix_sources,
+        op3_substring_dedup,
+        op5_secret_scan,
+        op6_nearest_vectors,
+        op7_suffix_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
@@ -39,4 +59,5 @@ FROM d WINDOW w AS (PARTITION BY t)
 """,
     "op2_mix_sources": mixing.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op6_nearest_vectors": ann.ORACLE,
 }
