@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, exact_dedup, mixing, pieces, secrets, substring_dedup, suffix_dedup
+from corpuslens.llm import ann, exact_dedup, languages, mixing, pieces, quality, secrets, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,17 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), model or piece_model(), decode=True))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = languages.remainder("doc_id", 5) == 0
+    model = languages.learn(docs.filter(F.col("doc_id").isNotNull() & ~held_out))
+    return languages.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -60,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_nearest_vectors,
         op7_suffix_dedup,
         op8_sentencepiece,
+        op9_quality,
+        op10_language_id,
     )
 }
 
