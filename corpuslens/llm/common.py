@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
@@ -14,17 +16,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 SKETCH_BITS = 1 << 22
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one of this machine only where none is named, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more, such as those cut off by a checkpoint."""
+    for _ in range(4):  # each collection lets the cleaner drop what keeps the next objects
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def buckets(df: DataFrame) -> int:
     """How many hash buckets messages are dealt to: it follows the cluster's shuffle width."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -41,12 +57,12 @@ def sketch(keys: DataFrame, key: str, bits: int = SKETCH_BITS) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
-    """``df`` with ``maybe``: false only where ``key`` is surely not among the sketched keys."""
+def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, name: str = "maybe", bits: int = SKETCH_BITS) -> DataFrame:
+    """``df`` with the column ``name``: false only where ``key`` is surely not among the sketched keys."""
     return (
         df.withColumn("sk_word", F.floor(F.pmod(F.col(key), F.lit(bits)) / 64).cast("long"))
         .join(F.broadcast(bitmap), "sk_word", "left")
-        .withColumn("maybe", F.coalesce(F.expr(f"shiftright(sk_mask, cast(pmod({key}, 64) as int)) & 1L"), F.lit(0)) == 1)
+        .withColumn(name, F.coalesce(F.expr(f"shiftright(sk_mask, cast(pmod({key}, 64) as int)) & 1L"), F.lit(0)) == 1)
         .drop("sk_word", "sk_mask")
     )
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from corpuslens.llm.common import mix64
 
@@ -124,6 +125,28 @@ def counts(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.diff(chunk.offsets.to_numpy())
 
 
+#: Answers packed by the bucket that their documents fall into, and unpacked: one row per document.
+PACKED = "dest int, docs array<bigint>, vals array<bigint>"
+
+
+def pack(docs: np.ndarray, values: np.ndarray, n: int) -> pa.Table:
+    """Values for documents, in order within a document, as a row for each bucket of documents."""
+    by = np.argsort(docs, kind="stable")
+    docs, values = docs[by], values[by]
+    heads, columns = lists(bucket_of(docs * np.int64(-7046029254386353131), n), docs, values)
+    return pa.table({"dest": pa.array(heads.astype(np.int32)), "docs": columns[0], "vals": columns[1]})
+
+
+def unpack(table: pa.Table) -> pa.Table:
+    ids, (values,) = lists(flat(table.column("docs")), flat(table.column("vals")))
+    return pa.table({"did": pa.array(ids, pa.int64()), "vals": values})
+
+
+def per_document(packed: DataFrame, name: str) -> DataFrame:
+    """did, and the list of all its values as ``name``."""
+    return packed.groupBy("dest").applyInArrow(unpack, "did bigint, vals array<bigint>").withColumnRenamed("vals", name)
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true."""
     edges = np.flatnonzero(np.diff(np.r_[np.int8(0), flags.astype(np.int8), np.int8(0)]))

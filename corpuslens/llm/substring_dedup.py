@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, text_or_empty
-from corpuslens.llm.spans import NO_ID, Words, bucket_of, counts, flat, lists, slices, spread, tagged, text_buffers
+from corpuslens.llm.common import buckets, cut_lineage, maybe_in, release, sketch, text_or_empty
+from corpuslens.llm.spans import NO_ID, PACKED, Words, bucket_of, counts, flat, lists, pack, per_document, slices, spread, tagged, text_buffers
 
 #: A perfect difference set: each shift modulo PERIOD is a difference of two of its places.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -28,7 +29,6 @@ WINDOW = 13
 FLUSH = 1 << 21
 ASK, SEEN, TOLD = 0, 1, 2
 MESSAGE = "bucket int, kind int, keys array<bigint>, more array<int>, docs array<bigint>"
-ANSWER = "did bigint, keys array<bigint>"
 
 
 def _slices_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, Words]]:
@@ -38,6 +38,8 @@ def _slices_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, Wo
 
 
 def _message(kind: int, bucket: np.ndarray, keys: np.ndarray, more: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    by = np.argsort(docs, kind="stable")  # runs of a document compress well
+    bucket, keys, more, docs = bucket[by], keys[by], more[by], docs[by]
     heads, columns = lists(bucket, keys.view(np.int64), more.astype(np.int32), docs)
     return pa.RecordBatch.from_arrays([pa.array(heads.astype(np.int32)), pa.array(np.full(len(heads), kind, np.int32)), *columns], ["bucket", "kind", "keys", "more", "docs"])
 
@@ -48,21 +50,22 @@ def _anchors(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, words.windows(length)[at]
 
 
-def _send_anchors(n_buckets: int, length: int):
-    def flush(keys: list[np.ndarray], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((d, k))
-        k, d = k[order], d[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
-        k, d = k[new], d[new]
-        head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        size = np.diff(np.r_[head, len(k)])
-        shared = np.repeat(size > 1, size)
-        for kind, kk, dd in ((ASK, k[~shared], d[~shared]), (SEEN, k[head[size > 1]], d[:0]), (TOLD, k[shared], d[shared])):
-            if len(kk):
-                to = bucket_of(kk if kind != TOLD else dd * np.int64(-7046029254386353131), n_buckets)
-                yield _message(kind, to, kk, np.zeros(len(kk), np.int32), dd if kind != SEEN else np.zeros(len(kk), np.int64))
+def ask(keys: list[np.ndarray], docs: list[np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Messages that ask which of the keys other documents have too. Keys that two documents here share are live without asking."""
+    k, d = np.concatenate(keys), np.concatenate(docs)
+    order = np.lexsort((d, k))
+    k, d = k[order], d[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])]
+    k, d = k[new], d[new]
+    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    size = np.diff(np.r_[head, len(k)])
+    shared = np.repeat(size > 1, size)
+    for kind, kk, dd in ((ASK, k[~shared], d[~shared]), (SEEN, k[head[size > 1]], np.zeros(int((size > 1).sum()), np.int64)), (TOLD, k[shared], d[shared])):
+        if len(kk):
+            yield _message(kind, bucket_of(kk if kind != TOLD else dd * np.int64(-7046029254386353131), n_buckets), kk, np.zeros(len(kk), np.int32), dd)
+
 
+def _send_anchors(n_buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held = [], [], 0
         for batch in batches:
@@ -75,26 +78,29 @@ def _send_anchors(n_buckets: int, length: int):
                 docs.append(d)
                 held += len(k)
                 if held >= FLUSH:
-                    yield from flush(keys, docs)
+                    yield from ask(keys, docs, n_buckets)
                     keys, docs, held = [], [], 0
         if held:
-            yield from flush(keys, docs)
+            yield from ask(keys, docs, n_buckets)
 
     return run
 
 
-def _by_doc(keys: np.ndarray, docs: np.ndarray) -> pa.Table:
-    ids, (values,) = lists(docs, keys)
-    return pa.table({"did": pa.array(ids, pa.int64()), "keys": values})
-
-
 def _of_kind(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = table.filter(pa.compute.equal(table.column("kind"), kind))
+    rows = table.filter(pc.equal(table.column("kind"), kind))
     return flat(rows.column("keys")), flat(rows.column("more")), flat(rows.column("docs"))
 
 
-def _live(table: pa.Table) -> pa.Table:
-    """Answers to the asking documents whose anchor another batch has too, and what was told before."""
+def live_keys(n: int):
+    """Answers to the asking documents whose key another batch has too, and what was told before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _live(table, n)
+
+    return run
+
+
+def _live(table: pa.Table, n: int) -> pa.Table:
     k, _, d = _of_kind(table, ASK)
     seen, _, _ = _of_kind(table, SEEN)
     told, _, to = _of_kind(table, TOLD)
@@ -103,7 +109,7 @@ def _live(table: pa.Table) -> pa.Table:
     same = k[1:] == k[:-1]
     live = np.r_[False, same] | np.r_[same, False] if len(k) else np.zeros(0, bool)
     live |= np.isin(k, seen)
-    return _by_doc(np.r_[k[live], told], np.r_[d[live], to])
+    return pack(np.r_[d[live], to], np.r_[k[live], told], n)
 
 
 def _send_windows(n_buckets: int, window: int, length: int):
@@ -145,15 +151,23 @@ def _send_windows(n_buckets: int, window: int, length: int):
     return run
 
 
-def _later(table: pa.Table) -> pa.Table:
+def later_keys(n: int):
     """Answers to the documents with a window that a smaller id has too."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _later(table, n)
+
+    return run
+
+
+def _later(table: pa.Table, n: int) -> pa.Table:
     k, m, d = _of_kind(table, ASK)
     told, _, to = _of_kind(table, TOLD)
     order = np.lexsort((d, m, k))
     k, m, d = k[order], m[order], d[order]
     head = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])] if len(k) else np.zeros(0, bool)
     later = d > d[np.flatnonzero(head)][np.cumsum(head) - 1] if len(k) else head
-    return _by_doc(np.r_[k[later], told], np.r_[d[later], to])
+    return pack(np.r_[d[later], to], np.r_[k[later], told], n)
 
 
 def _cut(window: int, with_text: bool):
@@ -193,12 +207,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text_or_empty().alias("t"))
 
     def answers(sent: DataFrame, rule) -> DataFrame:
-        told = sent.groupBy("bucket").applyInArrow(rule, ANSWER)
-        return told.groupBy("did").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-
-    live = cut_lineage(answers(rows.mapInArrow(_send_anchors(n, length), MESSAGE), _live))
-    gone = answers(rows.join(live, "did").mapInArrow(_send_windows(n, window, length), MESSAGE), _later)
-    kept = rows.join(gone, "did", "left").mapInArrow(_cut(window, with_text), "did bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+        return per_document(sent.groupBy("bucket").applyInArrow(rule, PACKED), "keys")
+
+    live = cut_lineage(answers(rows.mapInArrow(_send_anchors(n, length), MESSAGE), live_keys(n)))
+    release(docs.sparkSession)
+    # texts without live anchors are not moved
+    flagged = maybe_in(rows, "did", sketch(live, "did"))
+    some, others = flagged.filter("maybe").drop("maybe"), flagged.filter(~F.col("maybe")).drop("maybe")
+    gone = answers(some.join(live, "did").mapInArrow(_send_windows(n, window, length), MESSAGE), later_keys(n))
+    told = some.join(gone, "did", "left").unionByName(others.withColumn("keys", F.lit(None).cast("array<bigint>")))
+    kept = told.mapInArrow(_cut(window, with_text), "did bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
     return kept.withColumn("did", F.when(F.col("did") != NO_ID, F.col("did"))).withColumnRenamed("did", "doc_id")
 
 

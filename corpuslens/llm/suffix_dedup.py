@@ -19,21 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, mix64, text_or_empty
-from corpuslens.llm.spans import _TABLE, bucket_of, counts, flat, lists, powers, prefix_hash, runs, slices, text_buffers
+from corpuslens.llm.common import buckets, cut_lineage, maybe_in, mix64, release, sketch, text_or_empty
+from corpuslens.llm.spans import _TABLE, PACKED, bucket_of, counts, flat, lists, pack, per_document, powers, prefix_hash, runs, slices, text_buffers
 
 LENGTH, GAP, GRAM = 200, 104, 16
 KEY = LENGTH - GAP
 #: Bytes of a suffix that splitters look at, and how many of them are sampled for each bucket.
-LEAD, SAMPLES = 24, 64
+LEAD, SAMPLES = 24, 16
 FLUSH = 1 << 20
 ASK, TOLD = 0, 1
 FULL, SHIP = 1, 2
 MESSAGE = "bucket int, kind int, keys array<bigint>, ctxs array<bigint>, rids array<bigint>, ats array<bigint>"
-ANSWER = "rid bigint, ats array<bigint>"
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -112,15 +112,18 @@ def _send(n_buckets: int):
     return run
 
 
-def _answers(rids: np.ndarray, ats: np.ndarray) -> pa.Table:
-    ids, (values,) = lists(rids, ats)
-    return pa.table({"rid": pa.array(ids, pa.int64()), "ats": values})
+def settle(n: int):
+    """For each asked context: does it occur twice (FULL), must it be compared with others of its key (SHIP)?"""
 
+    def run(table: pa.Table) -> pa.Table:
+        return _settle(table, n)
 
-def _settle(table: pa.Table) -> pa.Table:
-    """For each asked context: does it occur twice (FULL), must it be compared with others of its key (SHIP)?"""
-    ask = table.filter(pa.compute.equal(table.column("kind"), ASK))
-    told = table.filter(pa.compute.equal(table.column("kind"), TOLD))
+    return run
+
+
+def _settle(table: pa.Table, n: int) -> pa.Table:
+    ask = table.filter(pc.equal(table.column("kind"), ASK))
+    told = table.filter(pc.equal(table.column("kind"), TOLD))
     k, c, r, a = (flat(ask.column(x)) for x in ("keys", "ctxs", "rids", "ats"))
     order = np.lexsort((a, r, c, k))
     k, c, r, a = k[order], c[order], r[order], a[order]
@@ -134,7 +137,7 @@ def _settle(table: pa.Table) -> pa.Table:
         code = FULL * full + SHIP * (mixed & new_ctx)
         a = (a >> 1) * 4 + code
         r, a = r[code > 0], a[code > 0]
-    return _answers(np.r_[r, flat(told.column("rids"))], np.r_[a, flat(told.column("ats"))])
+    return pack(np.r_[r, flat(told.column("rids"))], np.r_[a, flat(told.column("ats"))], n)
 
 
 def _ship(splitters: np.ndarray):
@@ -181,8 +184,16 @@ def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def _compare(table: pa.Table) -> pa.Table:
+def compare(n: int):
     """Which strings around each suffix start elsewhere: bit k for the string that starts k bytes before it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _compare(table, n)
+
+    return run
+
+
+def _compare(table: pa.Table, n_buckets: int) -> pa.Table:
     table = table.combine_chunks()
     data, off = text_buffers(table.column("ctx"))
     left = table.column("n_left").to_numpy().astype(np.int64)
@@ -226,7 +237,7 @@ def _compare(table: pa.Table) -> pa.Table:
     rids, pos = table.column("rid").to_numpy()[order][hit], table.column("pos").to_numpy()[order][hit]
     # three numbers for each suffix: its place and the two halves of the bits
     triples = np.stack([pos.astype(np.int64), low[hit].view(np.int64), high[hit].view(np.int64)], axis=1).reshape(-1)
-    return _answers(np.repeat(rids, 3), triples)
+    return pack(np.repeat(rids, 3), triples, n_buckets)
 
 
 def _cut(with_text: bool):
@@ -291,11 +302,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and kept_text if asked for."""
     n = buckets(docs)
     rows = docs.select(F.col("doc_id"), text_or_empty().alias("t")).withColumn("rid", F.xxhash64("doc_id", "t"))
-    asked = rows.select("rid", "t").mapInArrow(_send(n), MESSAGE)
-    told = asked.groupBy("bucket").applyInArrow(_settle, ANSWER)
-    full = cut_lineage(told.groupBy("rid").agg(F.flatten(F.collect_list("ats")).alias("ats")))
+    full = cut_lineage(per_document(rows.select("rid", "t").mapInArrow(_send(n), MESSAGE).groupBy("bucket").applyInArrow(settle(n), PACKED), "ats").withColumnRenamed("did", "rid"))
+    release(docs.sparkSession)
+    # texts without an answer are not moved; the others once, for both joins
+    flagged = maybe_in(rows, "rid", sketch(full, "rid"))
+    some, others = flagged.filter("maybe").drop("maybe"), flagged.filter(~F.col("maybe")).drop("maybe")
     shipping = full.withColumn("ats", F.filter("ats", lambda x: x.bitwiseAND(SHIP) > 0)).filter(F.size("ats") > 0)
-    shipped = rows.join(shipping, "rid").select("rid", "t", "ats").mapInArrow(_ship(_splitters(rows, n)), "part int, rid bigint, pos bigint, n_left int, ctx binary")
-    some = shipped.groupBy("part").applyInArrow(_compare, ANSWER).groupBy("rid").agg(F.flatten(F.collect_list("ats")).alias("some"))
-    joined = rows.join(full.select("rid", F.col("ats").alias("full")), "rid", "left").join(some, "rid", "left")
+    shipped = some.join(shipping, "rid").mapInArrow(_ship(_splitters(rows, n)), "part int, rid bigint, pos bigint, n_left int, ctx binary")
+    found = per_document(shipped.groupBy("part").applyInArrow(compare(n), PACKED), "some").withColumnRenamed("did", "rid")
+    told = some.join(full.select("rid", F.col("ats").alias("full")), "rid", "left").join(found, "rid", "left")
+    none = F.lit(None).cast("array<bigint>")
+    joined = told.unionByName(others.withColumn("full", none).withColumn("some", none))
     return joined.select("doc_id", "t", "full", "some").mapInArrow(_cut(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
