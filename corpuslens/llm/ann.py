@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK, GROUP = 4096, 8
+#: Rows of a block, and about how many query and candidate rows meet in a cell of the grid.
+BLOCK, QUERY_CELL, CELL_ROWS = 4096, 16384, 16384
 CELL = "qb int, cg int, role string, n int, ids array<bigint>, vectors binary"
 OUT = "query_id bigint, vec_id bigint, score double"
 
@@ -35,7 +36,7 @@ def _pack(role: str, block: int):
         ids, vectors, held = [], [], 0
         for batch in batches:
             i = batch.column("id").to_numpy(zero_copy_only=False)
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(i), -1) if len(i) else None
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(i), -1) if len(i) else None
             for lo in range(0, len(i), block):
                 ids.append(i[lo : lo + block])
                 vectors.append(v[lo : lo + block])
@@ -88,21 +89,21 @@ def _thin(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(order[nth <= k])
 
 
-def _cell(k: int):
+def _cell(k: int, kind: type):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         asks = [r for r in rows if r["role"] == "q"]
         best = None
         if asks:
             q_ids = np.concatenate([np.array(r["ids"], np.int64) for r in asks])
-            q = np.concatenate([np.frombuffer(r["vectors"], np.float64).reshape(r["n"], -1) for r in asks])
+            q = np.concatenate([np.frombuffer(r["vectors"], kind).reshape(r["n"], -1).astype(np.float64) for r in asks])
             qz = Quantised(q)
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             floor = np.full(len(q), -np.inf)
             for r in rows:
                 if r["role"] != "c":
                     continue
-                ids, c = np.array(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(r["n"], -1)
+                ids, c = np.array(r["ids"], np.int64), np.frombuffer(r["vectors"], kind).reshape(r["n"], -1).astype(np.float64)
                 some = _thin(ids, c, k)
                 ids, c = ids[some], c[some]
                 cz = Quantised(c)
@@ -133,25 +134,26 @@ def _cell(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, query_cell: int = QUERY_CELL, cell: int = CELL_ROWS) -> DataFrame:
     """For each query (vec_id, embedding) its k candidates with the largest inner products: query_id, rank, vec_id, score."""
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("embedding")
         fit = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.filter(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), v.cast("array<double>").alias("v"))
+        if dict(df.dtypes)["embedding"] not in ("array<float>", "array<double>"):
+            v = v.cast("array<double>")
+        return df.filter(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), v.alias("v"))
 
     usual = usable(vectors).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).select("d")
     pick = lambda df: usable(df).join(F.broadcast(usual), F.size("v") == F.col("d"), "left_semi")
     packed = lambda df, role: df.mapInArrow(_pack(role, block), "ids array<bigint>, vectors binary").withColumn("n", F.size("ids")).withColumn("role", F.lit(role)).withColumn("at", F.xxhash64("ids"))
     q, c = packed(pick(queries), "q"), packed(pick(vectors), "c")
-    # blocks are numbered by hash into as many cells as the grid needs; both counts follow the tables
-    n_q, n_c = q.count(), c.count()
-    q_cells, c_cells = max(1, n_q), max(1, -(-n_c // group))
+    # blocks are dealt by hash to a grid whose sides follow the numbers of rows
+    q_cells, c_cells = (max(1, -(-(df.agg(F.sum("n")).first()[0] or 0) // size)) for df, size in ((q, query_cell), (c, cell)))
     q = q.withColumn("qb", F.pmod("at", F.lit(q_cells)).cast("int")).withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(c_cells - 1))))
     c = c.withColumn("cg", F.pmod("at", F.lit(c_cells)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_cells - 1))))
     cells = q.select("qb", "cg", "role", "n", "ids", "vectors").union(c.select("qb", "cg", "role", "n", "ids", "vectors"))
-    tops = cells.groupBy("qb", "cg").applyInArrow(_cell(k), OUT)
+    tops = cells.groupBy("qb", "cg").applyInArrow(_cell(k, np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64), OUT)
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return tops.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
