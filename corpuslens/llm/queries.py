@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, exact_dedup, languages, mixing, pieces, quality, secrets, substring_dedup, suffix_dedup
+from corpuslens.llm import ann, exact_dedup, languages, mixing, near, pieces, quality, secrets, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(_table(spark, sf_dir, "documents")).drop("text_key", "class_key")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return secrets.digest(secrets.findings(docs, secrets.scan(docs)))
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_exact_dedup,
         op2_mix_sources,
         op3_substring_dedup,
+        op4_ngram_jaccard,
         op5_secret_scan,
         op6_nearest_vectors,
         op7_suffix_dedup,
