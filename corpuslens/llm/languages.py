@@ -169,6 +169,18 @@ def _predict(model: Languages):
     return run
 
 
+def told(model: Languages):
+    """A column function: text to a struct of lang_pred and score."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        texts = [t or "" for t in texts]
+        parts = [infer(model, texts[lo:hi]) for lo, hi in _chunks(texts)]
+        return pd.DataFrame({"lang_pred": [n for names, _ in parts for n in names], "score": np.concatenate([s for _, s in parts]) if parts else np.zeros(0)})
+
+    return run
+
+
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the share of the language in the document, 0 to 1)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double")

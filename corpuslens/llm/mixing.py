@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,9 +27,14 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 CHUNKS, BINS = 4096, 8192
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken; and times, the whole copies taken."""
-    rows = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def text_key() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, keep_text_key: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken; and times, the whole copies taken; and text_key, if asked for."""
+    also = ["text_key"] * keep_text_key
+    rows = docs.select("doc_id", "source", *(text_key().alias(x) for x in also), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * CHUNKS / 65536).cast("int"))
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
 
@@ -59,7 +64,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     timed = rows.withColumnsRenamed({"source": "source_", "chunk": "chunk_"}).join(same, F.expr("source_ <=> source and chunk_ = chunk")).withColumn("cum", F.col("offset") + F.sum("size").over(in_chunk))
     for p in range(repeats):
         timed = timed.withColumn(f"v{p}", F.try_divide((F.col("cum") + p * F.col("source_size")).cast("double"), F.col("target")))
-    timed = cut_lineage(timed.select("doc_id", "key", "size", "nth", "source_size", "target", "budget", *(f"v{p}" for p in range(repeats))))
+    timed = cut_lineage(timed.select("doc_id", *also, "key", "size", "nth", "source_size", "target", "budget", *(f"v{p}" for p in range(repeats))))
 
     copy = lambda p: F.struct(F.col(f"v{p}").alias("v"), "nth", "key", "doc_id", "size", F.lit(p).alias("pass"))
     copies = timed.filter("size > 0").select("budget", F.explode(F.array(*(copy(p) for p in range(repeats)))).alias("copy"))
@@ -77,7 +82,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         return F.when(F.col("size") == 0, 0).when(F.col("edge_bin").isNull() | (bin_ < F.col("edge_bin")), 1).when((bin_ == F.col("edge_bin")) & (copy(p) <= F.col("last")), 1).otherwise(0)
 
     times = sum((taken(p) for p in range(1, repeats)), taken(0)).cast("long")
-    return told.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * times).alias("taken"), times.alias("times"))
+    return told.select("doc_id", *also, "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 ORACLE = r"""
