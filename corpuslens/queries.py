@@ -1,17 +1,10 @@
-"""The registered queries of the analytics engine and their oracle SQL."""
+"""All registered queries of the analytics engine and their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpuslens.catalogue import profile, topic_map
+from corpuslens.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+entry = topic_map.answer
 
-from corpuslens.tables import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+__all__ = ["ORACLES", "QUERIES", "entry", "profile"]
