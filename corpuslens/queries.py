@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpuslens.catalogue import profile, topic_map
+from corpuslens.catalogue import profile, terms, topic_map
 from corpuslens.registry import ORACLES, QUERIES
 
 entry = topic_map.answer
 
-__all__ = ["ORACLES", "QUERIES", "entry", "profile"]
+__all__ = ["ORACLES", "QUERIES", "entry", "profile", "terms"]
