@@ -235,12 +235,6 @@ def counterpart_agreement(spark: SparkSession, d: str) -> DataFrame:
     return metrics.counterpart_agreement(first, second, parts).withColumn("agreement", F.round("agreement", 6))
 
 
-@query(A.replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 10 <> 3)", 1) + " SELECT topic, count(*) AS n FROM r WHERE rk = 1 GROUP BY topic")
-def noise_free_assignment(spark: SparkSession, d: str) -> DataFrame:
-    v, labels = _v(spark, d).filter("id % 10 <> 3"), _labels(spark, d).filter("id % 10 <> 3")
-    return search.assign(v, search.centroids(v, labels)).groupBy("topic").agg(F.count("*").alias("n"))
-
-
 @query(
     V
     + """, l AS (SELECT id, vec, CASE WHEN id % 10 = 3 THEN -1 ELSE label END AS label FROM v), f AS (SELECT label, unnest(range(1, len(vec) + 1)) AS pos, unnest(vec) AS x FROM l WHERE label <> -1),
