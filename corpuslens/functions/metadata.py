@@ -65,9 +65,11 @@ def line_key(line: Column | str) -> Column:
 
 
 def page_number(line: Column | str) -> Column:
-    """Is the line a page number: up to three digits, a small roman numeral, or ``n de m`` with a word for page before or not."""
-    text = F.lower(F.trim(_col(line)))
-    return F.coalesce(text.rlike(r"^[-–—. ]*(?:[0-9]{1,3}|[ivxl]+)[-–—. ]*$") | text.rlike(r"^(?:p[aá]gina|page|seite)? ?[0-9]{1,4}(?: (?:de|of|von) [0-9]{1,4})?$"), F.lit(False))
+    """Is the line a page number: up to three digits, a small roman numeral, ``page n`` or ``n of m``."""
+    text = F.trim(_col(line))
+    bare = text.rlike(r"^[-–—. ]*(?:[0-9]{1,3}|[ivxl]+)[-–—. ]*$")
+    worded = text.rlike(r"(?iu)^(?:(?:p[aá]gina|p[aá]g\.?|page|seite) ?[0-9]{1,4}(?: (?:de|of|von) [0-9]{1,4})?|[0-9]{1,4} (?:de|of|von) [0-9]{1,4})$")
+    return F.coalesce(bare | worded, F.lit(False))
 
 
 def band(n: Column | str) -> Column:
