@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import clipped, cosine
-from corpuslens.operators.search import NOISE, against_all, nearest_topics
+from corpuslens.operators.search import NOISE, against_all, beside, nearest_topics, nearest_two
 
 
 def topic_sizes(labels: DataFrame) -> DataFrame:
@@ -36,9 +36,8 @@ def literal_small(sizes: DataFrame, n: int) -> DataFrame:
 def bridges(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """How many documents lie between each pair of topics t < u: those whose two nearest centroids they are and that are nearer to the
     pair's midpoint direction than to either; an antipodal pair has none."""
-    sim = against_all(rows, cents).select("id", "topic", cosine("vec", "centroid").alias("s"))
-    two = sim.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("s", 9)).alias("neg"), "topic", "s"))), 1, 2).alias("two")).filter("size(two) = 2")
-    pairs = two.select("id", F.least(F.col("two")[0]["topic"], F.col("two")[1]["topic"]).alias("t"), F.greatest(F.col("two")[0]["topic"], F.col("two")[1]["topic"]).alias("u"), F.col("two")[0]["s"].alias("s1"), F.col("two")[1]["s"].alias("s2"))
+    two = nearest_two(rows, cents).filter("size(two) = 2")
+    pairs = two.select("id", F.least(F.col("two")[0]["topic"], F.col("two")[1]["topic"]).alias("t"), F.greatest(F.col("two")[0]["topic"], F.col("two")[1]["topic"]).alias("u"), F.col("two")[0]["sim"].alias("s1"), F.col("two")[1]["sim"].alias("s2"))
     other = cents.select(F.col("topic").alias("u"), F.col("centroid").alias("cu"))
     between = pairs.select("t", "u").distinct().join(cents.select(F.col("topic").alias("t"), F.col("centroid").alias("ct")), "t").join(other, "u").select("t", "u", clipped(cosine("ct", "cu")).alias("c"))
     root = F.sqrt(F.greatest(2 + 2 * F.col("c"), F.lit(0.0)))
@@ -92,7 +91,12 @@ def support(members: DataFrame, reference: int, least_runs: int, least_overlap:
 
 def distant(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """Documents whose mean cosine distance to all centroids is strictly above its third quartile."""
-    mean = against_all(rows, cents).groupBy("id").agg(F.avg(1 - cosine("vec", "centroid")).alias("mean"))
+    near = beside(rows, cents, "cs")
+    if near is None:
+        mean = against_all(rows, cents).groupBy("id").agg(F.avg(1 - cosine("vec", "centroid")).alias("mean"))
+    else:
+        total = F.aggregate(F.transform("cs", lambda c: 1 - cosine(F.col("vec"), c["centroid"])), F.lit(0.0), lambda s, x: s + x)
+        mean = near.select("id", (total / F.size("cs")).alias("mean"))
     cut = mean.agg(F.percentile("mean", F.lit(0.75)).alias("cut"))
     return mean.crossJoin(F.broadcast(cut)).filter(F.round("mean", 9) > F.round("cut", 9)).select("id", "mean")
 

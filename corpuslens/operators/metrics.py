@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import dot, norm, unit
-from corpuslens.operators.search import NOISE, against_all, centroids
+from corpuslens.operators.search import NOISE, against_all, beside, centroids
 
 
 def points(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -26,10 +26,20 @@ def silhouette_points(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Cosine silhouette of each point, from the sums of each cluster's unit vectors: mean distance = 1 - v.S/n. Alone in a cluster: 0."""
     pts = points(rows, labels)
     sums = _sums(pts).select(F.col("label").alias("other"), "n", "total")
-    far = against_all(pts, sums).withColumn("own", F.col("other") == F.col("label")).withColumn("vs", dot("vec", "total"))
-    # the own point is at distance 1 - |v|^2 = 0 from itself
-    mean = F.when(F.col("own"), F.when(F.col("n") > 1, (F.col("n") - F.col("vs")) / (F.col("n") - 1))).otherwise(1 - F.col("vs") / F.col("n"))
-    per = far.withColumn("mean", mean).groupBy("id", "label").agg(F.max(F.when(F.col("own"), F.col("mean"))).alias("a"), F.min(F.when(~F.col("own"), F.col("mean"))).alias("b"))
+    # a point's own part of its cluster's sum is at distance 1 - |v|^2 = 0
+
+    def mean(n: Column, total: Column, own: Column) -> Column:
+        vs = dot(F.col("vec"), total)
+        return F.when(own, F.when(n > 1, (n - vs) / (n - 1))).otherwise(1 - vs / n)
+
+    near = beside(pts, sums, "cs")
+    if near is not None:
+        each = F.transform("cs", lambda c: F.struct((c["other"] == F.col("label")).alias("own"), mean(c["n"], c["total"], c["other"] == F.col("label")).alias("m")))
+        pick = lambda own: F.transform(F.filter("each", lambda c: c["own"] == own), lambda c: c["m"])
+        per = near.select("id", "label", each.alias("each")).select("id", "label", F.array_max(pick(True)).alias("a"), F.array_min(pick(False)).alias("b"))
+    else:
+        far = against_all(pts, sums).withColumn("own", F.col("other") == F.col("label")).withColumn("m", mean(F.col("n"), F.col("total"), F.col("own")))
+        per = far.groupBy("id", "label").agg(F.max(F.when(F.col("own"), F.col("m"))).alias("a"), F.min(F.when(~F.col("own"), F.col("m"))).alias("b"))
     value = F.when(F.col("a").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
     return per.select("id", "label", F.coalesce(F.when(F.col("b").isNotNull(), value), F.lit(0.0)).alias("silhouette"))
 

@@ -27,7 +27,9 @@ def allocate(sizes: DataFrame, total: int, floor: int = 0) -> DataFrame:
 def draw(rows: DataFrame, quotas: DataFrame, id_col: str, seed: str) -> DataFrame:
     """The first ``quota`` rows of each stratum in hash order: draw_order from 1."""
     order = W.partitionBy("stratum").orderBy(hash_order(seed, "stratum", id_col), id_col)
-    ranked = rows.withColumn("draw_order", F.row_number().over(order).cast("long"))
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    # the bound lets each task keep only its first rows of a stratum before the shuffle
+    ranked = rows.withColumn("draw_order", F.row_number().over(order)).filter(F.col("draw_order") <= int(most)).withColumn("draw_order", F.col("draw_order").cast("long"))
     return ranked.join(F.broadcast(quotas.select("stratum", "quota")), "stratum").filter(F.col("draw_order") <= F.col("quota")).drop("quota")
 
 

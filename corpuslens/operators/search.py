@@ -32,6 +32,25 @@ def against_all(rows: DataFrame, few: DataFrame, limit: int = CENTROIDS) -> Data
     return rows.withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block__").drop("block__")
 
 
+def beside(rows: DataFrame, few: DataFrame, name: str, limit: int = CENTROIDS) -> DataFrame | None:
+    """``rows`` with all of a small frame as an array of structs, so that what compares them needs no shuffle of the rows; None if there
+    are too many."""
+    if few.count() > limit:
+        return None
+    return rows.crossJoin(F.broadcast(few.agg(F.collect_list(F.struct(*few.columns)).alias(name))))
+
+
+def nearest_two(rows: DataFrame, cents: DataFrame) -> DataFrame:
+    """id, and the two nearest topics as structs (neg, topic, sim), ties to the lower topic."""
+    ordered = lambda topic, sim: F.struct((-F.round(sim, 9)).alias("neg"), topic.alias("topic"), sim.alias("sim"))
+    near = beside(rows, cents, "cs")
+    if near is not None:
+        sims = F.transform("cs", lambda c: ordered(c["topic"], clipped(cosine(F.col("vec"), c["centroid"]))))
+        return near.select("id", F.slice(F.array_sort(sims), 1, 2).alias("two"))
+    sim = against_all(rows, cents).select("id", "topic", clipped(cosine("vec", "centroid")).alias("sim"))
+    return sim.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(ordered(F.col("topic"), F.col("sim")))), 1, 2).alias("two"))
+
+
 def scores(rows: DataFrame, query: DataFrame) -> DataFrame:
     """Cosine of each row with the one query (qvec)."""
     return rows.crossJoin(F.broadcast(query.select(F.col("vec").alias("qvec")).limit(1))).select("id", cosine("vec", "qvec").alias("score"), "vec")
@@ -69,10 +88,9 @@ def centroids(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def assign(rows: DataFrame, cents: DataFrame) -> DataFrame:
     """Nearest topic of each row, its cosine, the runner-up's and the margin (null with one topic); ties to the lower topic."""
-    sim = against_all(rows, cents).select("id", "topic", clipped(cosine("vec", "centroid")).alias("sim"))
-    best = sim.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.round("sim", 9)).alias("neg"), "topic", "sim"))), 1, 2).alias("two"))
+    best = nearest_two(rows, cents)
     second = F.try_element_at("two", F.lit(2))["sim"]
-    return best.select("id", F.col("two")[0]["topic"].alias("topic"), F.col("two")[0]["sim"].alias("sim"), second.alias("second"), (F.col("two")[0]["sim"] - second).alias("margin"))
+    return best.filter("size(two) > 0").select("id", F.col("two")[0]["topic"].alias("topic"), F.col("two")[0]["sim"].alias("sim"), second.alias("second"), (F.col("two")[0]["sim"] - second).alias("margin"))
 
 
 def member_similarities(rows: DataFrame, labels: DataFrame, cents: DataFrame) -> DataFrame:
