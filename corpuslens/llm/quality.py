@@ -30,7 +30,7 @@ VOCABULARY, DIMENSIONS, REACH = 1 << 14, 32, 2
 SHAPES = 64
 #: Labelled rows that the network is fitted on at most, the share of them that sets the temperature, and the network's size.
 SAMPLE, CALIBRATION, HIDDEN, EPOCHS = 20_000, 0.2, 32, 60
-CHUNK = 256
+CHUNK = 64
 FEATURES = 2 * DIMENSIONS + SHAPES + 2
 
 
@@ -74,7 +74,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        rows = flat(batch.column("sums")).reshape(batch.num_rows, -1)
+        rows = flat(batch.column("sums")).reshape(batch.num_rows, CHUNK * DIMENSIONS)
         for chunk, row in zip(batch.column("chunk").to_pylist(), rows, strict=True):
             total[chunk] = total.get(chunk, 0) + row
     if total:
@@ -176,7 +176,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Network | None:
 def _score(net: Network | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = flat(batch.column("x")).reshape(batch.num_rows, -1)
+            x = flat(batch.column("x")).reshape(batch.num_rows, FEATURES)
             s = net.scores(x.astype(np.float64)) if net is not None else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
@@ -187,7 +187,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     """One row per document: doc_id, held_out, score, predicted. ``sample`` bounds the labelled rows that the network is fitted on."""
     features = cut_lineage(pooled(docs, word_vectors(docs)))
     learnable = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter(remainder("doc_id", 4) != 2)
+    n = learnable.count()
+    if n > sample:  # a share of the ids by their hash, so that no task has to read all labelled rows for the few that are kept
+        learnable = learnable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit((1 << 20) * sample // n))
     rows = features.join(learnable, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).toArrow()
-    x, y = flat(rows.column("x")).reshape(rows.num_rows, -1).astype(np.float64), rows.column("y").to_numpy()
+    x, y = flat(rows.column("x")).reshape(rows.num_rows, FEATURES).astype(np.float64), rows.column("y").to_numpy()
     scored = features.mapInArrow(_score(fit(x, y) if len(y) else None), "doc_id bigint, score double")
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
