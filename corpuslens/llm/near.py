@@ -113,7 +113,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, first = np.unique(ck, return_index=True)
             at = first[new[first]]
             seen.update(ck[at].tolist())
-            if len(seen) > 1_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             sig = (mix64(mins[at]) & np.uint64(255)).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(mins[at]).view(np.int64).reshape(-1)))

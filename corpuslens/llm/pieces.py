@@ -31,9 +31,9 @@ from corpuslens.llm.common import text_or_empty
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: Parts that a worker keeps, and the longest of them.
-CACHE, CACHED_LENGTH = 200_000, 48
+CACHE, CACHED_LENGTH = 220_000, 48
 #: Pairs whose compatibility a worker keeps.
-FITS = 1_000_000
+FITS = 500_000
 ROWS = 256
 
 
