@@ -99,3 +99,34 @@ def gap_support(spark: SparkSession, d: str) -> DataFrame:
     labels = _runs(spark, d).filter("label <> -1")
     members = labels.select(F.format_string("G-%d-%d", "run", "label").alias("gap_id"), "run", F.lit("a").alias("rule"), F.lit("").alias("match_key"), "id")
     return gaps.support(members, 0, 3, 0.68).select("gap_id", F.col("support").cast("long").alias("support"), "stable")
+
+
+@query(
+    L
+    + """, m AS (SELECT 'G-0-' || label AS gap_id, id, (id * id) % 5 AS program, 2000 + id % 4 AS year FROM l WHERE run = 0 AND label <> -1), p AS (SELECT gap_id, string_agg(program || ':' || n, ',' ORDER BY program) AS programs FROM (SELECT gap_id, program, count(*) AS n FROM m GROUP BY ALL) GROUP BY gap_id),
+y AS (SELECT gap_id, string_agg(year || ':' || n, ',' ORDER BY year) AS years FROM (SELECT gap_id, year, count(*) AS n FROM m GROUP BY ALL) GROUP BY gap_id) SELECT gap_id, (SELECT count(*) FROM m WHERE m.gap_id = p.gap_id) AS theses, programs, years FROM p JOIN y USING (gap_id)"""
+)
+def gap_evidence(spark: SparkSession, d: str) -> DataFrame:
+    members = _runs(spark, d).filter("run = 0 and label <> -1").select(F.format_string("G-0-%d", "label").alias("gap_id"), "id")
+    metadata = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), ((F.col("vec_id") * F.col("vec_id")) % 5).alias("program"), (F.col("vec_id") % 4 + 2000).alias("year"))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["key"].cast("string"), x["n"].cast("string"))), ",")
+    got = gaps.evidence(members, metadata)
+    return got.select("gap_id", "theses", shown("program_counts").alias("programs"), shown("year_counts").alias("years"))
+
+
+@query(
+    S
+    + """, c AS (SELECT quantile_cont(size, 0.25) AS size_cut, (SELECT quantile_cont(npmi, 0.25) FROM p) AS floor_ FROM s), f AS (SELECT 'primary' AS variant, run, topic FROM s JOIN p USING (run, topic), c WHERE size <= size_cut AND npmi >= floor_ UNION ALL SELECT 'no_floor', run, topic FROM s, c WHERE size <= size_cut UNION ALL SELECT 'twice_cut', run, topic FROM s JOIN p USING (run, topic), c WHERE size <= 2 * size_cut AND npmi >= floor_),
+g AS (SELECT v.variant, r.run, count(f.topic) AS gaps, count(q.topic) AS shared FROM (SELECT unnest(['primary', 'no_floor', 'twice_cut']) AS variant) v CROSS JOIN r LEFT JOIN f ON f.variant = v.variant AND f.run = r.run LEFT JOIN (SELECT run, topic FROM f WHERE variant = 'primary') q ON q.run = f.run AND q.topic = f.topic GROUP BY ALL)
+SELECT variant, run, gaps, coalesce(round(shared / nullif(gaps + (SELECT gaps FROM g h WHERE h.variant = 'primary' AND h.run = g.run) - shared, 0), 6), -1) AS jaccard FROM g"""
+)
+def gap_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    sizes = gaps.topic_sizes(_runs(spark, d))
+    npmi = _npmi(sizes)
+    cuts = gaps.small_topic_cuts(sizes, npmi, 0.25)
+    found = {
+        "primary": gaps.small_coherent(sizes, npmi, cuts),
+        "no_floor": sizes.crossJoin(F.broadcast(cuts)).filter("size <= size_cut"),
+        "twice_cut": gaps.small_coherent(sizes, npmi, cuts.withColumn("size_cut", F.col("size_cut") * 2)),
+    }
+    return gaps.sensitivity(found, sizes).withColumn("jaccard", F.coalesce(F.round("jaccard", 6), F.lit(-1.0)))

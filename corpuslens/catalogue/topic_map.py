@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import cosine, norm
@@ -264,3 +265,32 @@ def answer(spark: SparkSession, d: str, vector_id: int = 0) -> DataFrame:
 @query()
 def proposal_answer(spark: SparkSession, d: str) -> DataFrame:
     return answer(spark, d)
+
+
+@query(A + ", b AS (SELECT topic FROM r WHERE id = 0 AND rk = 1), n AS (SELECT topic, sim FROM r WHERE id = 0 AND rk > 1 ORDER BY rk LIMIT 3) SELECT (SELECT topic FROM b) AS assigned, topic AS neighbor, round(sim, 6) AS sim FROM n")
+def alternative_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The topics next to a vector, after the one it is assigned to."""
+    v, cents = _v(spark, d), _cents(spark, d)
+    one = v.filter("id = 0")
+    assigned = search.assign(one, cents).select(F.col("topic").alias("assigned"))
+    sims = search.scores(cents.select(F.col("topic").alias("id"), F.col("centroid").alias("vec")), one)
+    near = sims.crossJoin(F.broadcast(assigned)).filter("id <> assigned").orderBy(F.desc(F.round("score", 9)), "id").limit(3)
+    return near.select("assigned", F.col("id").alias("neighbor"), F.round("score", 6).alias("sim"))
+
+
+@query("WITH s AS (SELECT CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS topic, count(*) AS n FROM embeddings GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY topic = -1, topic) AS BIGINT) AS line, CASE WHEN topic = -1 THEN 'Noise' ELSE 'Topic ' || topic END AS name, n, printf('%.1f %%', 100.0 * n / sum(n) OVER ()) AS share FROM s")
+def topic_table(spark: SparkSession, d: str) -> DataFrame:
+    """Topics for display: noise last, with shares of all documents."""
+    sizes = _labels(spark, d, 0).groupBy(F.col("label").alias("topic")).agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    name = F.when(F.col("topic") == -1, "Noise").otherwise(F.concat(F.lit("Topic "), F.col("topic").cast("string")))
+    line = F.row_number().over(W.orderBy(F.col("topic") == -1, "topic")).cast("long")
+    return sizes.crossJoin(F.broadcast(total)).select(line.alias("line"), name.alias("name"), "n", F.format_string("%.1f %%", 100.0 * F.col("n") / F.col("total")).alias("share"))
+
+
+@query(V + " SELECT CAST(row_number() OVER (ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.id) AS BIGINT) AS rank, b.id AS vec_id, b.label AS topic, round(list_cosine_similarity(a.vec, b.vec), 3) AS similarity FROM v a, v b WHERE a.id = 0 AND b.id <> 0 QUALIFY rank <= 8")
+def similar_table(spark: SparkSession, d: str) -> DataFrame:
+    """The most similar vectors with their topics, as a display table."""
+    best = search.top_k(_v(spark, d), _one(spark, d), 8, exclude=0)
+    ranked = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "id")).cast("long"))
+    return ranked.join(_labels(spark, d), "id", "left").select("rank", F.col("id").alias("vec_id"), F.col("label").alias("topic"), F.round("score", 3).alias("similarity"))

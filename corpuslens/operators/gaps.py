@@ -100,3 +100,28 @@ def distant(rows: DataFrame, cents: DataFrame) -> DataFrame:
     cut = mean.agg(F.percentile("mean", F.lit(0.75)).alias("cut"))
     return mean.crossJoin(F.broadcast(cut)).filter(F.round("mean", 9) > F.round("cut", 9)).select("id", "mean")
 
+
+
+def evidence(members: DataFrame, metadata: DataFrame) -> DataFrame:
+    """One row per gap (members: gap_id, id): distinct documents, and its programs and years as sorted (key, n) arrays."""
+    joined = members.select("gap_id", "id").distinct().join(metadata, "id")
+    counted = lambda key, name: joined.groupBy("gap_id", key).agg(F.count("*").alias("n")).groupBy("gap_id").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), "n"))).alias(name))
+    size = joined.groupBy("gap_id").agg(F.count("*").alias("theses"))
+    return size.join(counted("program", "program_counts"), "gap_id").join(counted("year", "year_counts"), "gap_id")
+
+
+def sensitivity(found: dict[str, DataFrame], sizes: DataFrame) -> DataFrame:
+    """For each variant's topics (run, topic): gaps per run with the zero of runs that have none, and the overlap with the first variant."""
+    runs = sizes.select("run").distinct()
+    primary = next(iter(found.values())).select("run", "topic").distinct()
+    out = None
+    for name, topics in found.items():
+        own = topics.select("run", "topic").distinct()
+        n, p = (df.groupBy("run").agg(F.count("*").alias(c)) for df, c in ((own, "gaps"), (primary, "primary_gaps")))
+        both = own.join(primary, ["run", "topic"], "left_semi").groupBy("run").agg(F.count("*").alias("both"))
+        row = runs.join(n, "run", "left").join(p, "run", "left").join(both, "run", "left").fillna(0, ["gaps", "primary_gaps", "both"])
+        row = row.select(F.lit(name).alias("variant"), "run", "gaps", F.try_divide(F.col("both").cast("double"), F.col("gaps") + F.col("primary_gaps") - F.col("both")).alias("jaccard"))
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no variants")
+    return out

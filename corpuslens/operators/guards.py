@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Needles that are matched by broadcasting; more are matched by their first words.
-NEEDLES = 2_000
+#: Needles that are matched by broadcasting, and their characters together; more are matched by their first words.
+NEEDLES, NEEDLE_CHARS = 2_000, 4_000_000
 
 
 def folded(text: Column) -> Column:
@@ -26,15 +26,18 @@ def sensitive(df: DataFrame, columns: list[str], least_sentence: int) -> DataFra
 def leaks(df: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
     """Needles that occur in the folded text, by document. Few needles are broadcast; else candidates share a run of three words."""
     hay = df.select(F.col(id_col).alias("id"), folded(F.col(text_col)).alias("hay"))
-    if needles.count() <= NEEDLES:
+    n, chars = needles.agg(F.count("*"), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
+    if n <= NEEDLES and chars <= NEEDLE_CHARS:
         return hay.crossJoin(F.broadcast(needles)).filter(F.contains("hay", "needle")).select("id", "needle")
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(c, " ")) - 2)), lambda i: F.xxhash64(F.array_join(F.slice(F.split(c, " "), i, 3), " ")))
     # a needle's second to fourth words are whole words of any text that holds it
     long = needles.withColumn("words", F.split("needle", " "))
     keyed = long.filter("size(words) >= 5").withColumn("key", F.xxhash64(F.array_join(F.slice("words", 2, 3), " ")))
     found = hay.withColumn("key", F.explode(F.array_distinct(grams(F.col("hay"))))).join(keyed, "key").filter(F.contains("hay", "needle")).select("id", "needle").distinct()
-    short = F.broadcast(long.filter("size(words) < 5").select("needle"))
-    return found.union(hay.crossJoin(short).filter(F.contains("hay", "needle")).select("id", "needle"))
+    short = long.filter("size(words) < 5").select("needle")
+    if short.count() > NEEDLES:
+        raise ValueError(f"more than {NEEDLES} needles of under five words")
+    return found.union(hay.crossJoin(F.broadcast(short)).filter(F.contains("hay", "needle")).select("id", "needle"))
 
 
 def check(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

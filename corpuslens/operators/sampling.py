@@ -30,7 +30,7 @@ def draw(rows: DataFrame, quotas: DataFrame, id_col: str, seed: str) -> DataFram
     most = quotas.agg(F.max("quota")).first()[0] or 0
     # the bound lets each task keep only its first rows of a stratum before the shuffle
     ranked = rows.withColumn("draw_order", F.row_number().over(order)).filter(F.col("draw_order") <= int(most)).withColumn("draw_order", F.col("draw_order").cast("long"))
-    return ranked.join(F.broadcast(quotas.select("stratum", "quota")), "stratum").filter(F.col("draw_order") <= F.col("quota")).drop("quota")
+    return ranked.join(quotas.select("stratum", "quota"), "stratum").filter(F.col("draw_order") <= F.col("quota")).drop("quota")
 
 
 def round_robin(rows: DataFrame, pool: str, id_col: str, groups: int, seed: str) -> DataFrame:
