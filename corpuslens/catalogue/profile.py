@@ -221,3 +221,19 @@ def programs_per_topic(spark: SparkSession, d: str) -> DataFrame:
     counts = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
     sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "p_brand", "n")))
     return counts.groupBy(F.col("p_type").alias("topic")).agg(F.array_join(F.transform(sorted_, lambda x: F.concat_ws(":", x["p_brand"], x["n"].cast("string"))), ",").alias("programs"))
+
+
+@query(
+    "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), n AS (SELECT count(*)::DOUBLE AS total FROM documents), s AS (SELECT word, count(*) AS documents, count(*) / any_value(total) AS ratio FROM t, n GROUP BY word), l AS (SELECT unnest(['the', 'of', 'zzzz']) AS word) SELECT word, coalesce(documents, 0) AS documents, round(coalesce(ratio, 0), 6) AS ratio, true AS listed FROM l LEFT JOIN s USING (word) UNION ALL SELECT word, documents, round(ratio, 6), false FROM s ANTI JOIN l USING (word) WHERE ratio >= 0.5"
+)
+def stopword_recheck(spark: SparkSession, d: str) -> DataFrame:
+    listed = spark.createDataFrame([("the",), ("of",), ("zzzz",)], "word string")
+    return P.stopword_recheck(table(spark, d, "documents"), "doc_id", M.tokens("text"), listed, 0.5).withColumn("ratio", F.round("ratio", 6))
+
+
+@query(
+    r"WITH r AS (SELECT length(text) AS chars, len(regexp_split_to_array(trim(text), '[ \t\n\x0b\f\r]+')) AS words, len(regexp_split_to_array(trim(text), '[ \t\n\x0b\f\r]+')) + 2 AS tokens FROM documents WHERE trim(text) <> ''), o AS (SELECT round(avg((tokens > 512)::INT), 6) AS share_over_limit FROM r), m AS (SELECT 'chars' AS measure, chars AS v FROM r UNION ALL SELECT 'words', words FROM r UNION ALL SELECT 'tokens', tokens FROM r) SELECT measure, count(*) AS n, round(avg(v), 6) AS mean, quantile_cont(v, 0.5) AS median, max(v) AS most, any_value(share_over_limit) AS share_over_limit FROM m, o GROUP BY measure"
+)
+def length_profile(spark: SparkSession, d: str) -> DataFrame:
+    size = F.size(F.split(F.trim("text"), r"\s+")) + 2
+    return P.length_profile(table(spark, d, "documents"), "text", size, 512).withColumns({c: F.round(c, 6) for c in ("mean", "share_over_limit")})

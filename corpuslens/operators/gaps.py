@@ -125,3 +125,8 @@ def sensitivity(found: dict[str, DataFrame], sizes: DataFrame) -> DataFrame:
     if out is None:
         raise ValueError("no variants")
     return out
+
+
+def pair_overlap(j11, j12, j21, j22):
+    """Overlap of two gaps of two topics each: the weaker topic under the better matching."""
+    return F.greatest(F.least(j11, j22), F.least(j12, j21))

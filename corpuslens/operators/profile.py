@@ -118,3 +118,20 @@ def top_share(df: DataFrame, score: str, order: str, share: tuple[int, int]) ->
     n = df.count()
     k = -(-n * share[0] // share[1])
     return df.orderBy(F.desc(F.round(score, 9)), order).limit(k)
+
+
+def stopword_recheck(df: DataFrame, id_col: str, tokens: Column, listed: DataFrame, least: float) -> DataFrame:
+    """Listed words with the share of documents that hold them (0 for none), and unlisted words in the share ``least`` or more."""
+    total = df.agg(F.count("*").alias("total"))
+    counts = df.select(id_col, F.explode(F.array_distinct(tokens)).alias("word")).groupBy("word").agg(F.count("*").alias("documents")).crossJoin(F.broadcast(total))
+    shares = counts.select("word", "documents", (F.col("documents").cast("double") / F.col("total")).alias("ratio"))
+    known = listed.select("word").distinct().join(shares, "word", "left").select("word", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("ratio", F.lit(0.0)).alias("ratio"), F.lit(True).alias("listed"))
+    return known.unionByName(shares.filter(F.col("ratio") >= least).join(listed, "word", "left_anti").withColumn("listed", F.lit(False)))
+
+
+def length_profile(df: DataFrame, text: str, size: Column, limit: int) -> DataFrame:
+    """Characters, words and tokens of the texts that there are, and the share over a token limit; one pass."""
+    rows = df.filter(F.trim(text) != "").select(F.length(text).alias("chars"), F.size(F.split(F.trim(text), r"\s+")).alias("words"), size.alias("tokens"))
+    stats = [F.struct(F.lit(c).alias("measure"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).cast("long").alias("most")) for c in ("chars", "words", "tokens")]
+    over = F.avg((F.col("tokens") > limit).cast("double")).alias("share_over_limit")
+    return rows.agg(F.array(*stats).alias("s"), over).select(F.inline("s"), "share_over_limit")

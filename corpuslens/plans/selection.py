@@ -99,3 +99,20 @@ def medoid(pairs: DataFrame) -> DataFrame:
     """The run with the greatest mean agreement (run_a, run_b, ari) with the others; ties to the first seed."""
     both = pairs.select(F.col("run_a").alias("run"), "ari").union(pairs.select("run_b", "ari"))
     return both.groupBy("run").agg(F.avg("ari").alias("mean_ari")).orderBy(F.desc(F.round("mean_ari", 12)), "run").limit(1)
+
+
+def beats_baseline(winner: Candidate, baselines: Sequence[Candidate], metric: str = "npmi") -> bool:
+    """The winner's metric is greater than each baseline's, at all the numbers of topics that are compared."""
+    own = winner.mean.get(metric)
+    return own is not None and bool(baselines) and all((b := c.mean.get(metric)) is not None and own > b for c in baselines)
+
+
+def steady(values: Sequence[float], cap: float) -> bool:
+    """The coefficient of variation over seeds is at most the cap."""
+    mean = sum(values) / len(values)
+    sd = (sum((v - mean) ** 2 for v in values) / (len(values) - 1)) ** 0.5 if len(values) > 1 else 0.0
+    return mean != 0 and sd / abs(mean) <= cap
+
+
+def accepted(f1: float | None, floor: float = 0.70) -> bool:
+    return f1 is not None and f1 >= floor
