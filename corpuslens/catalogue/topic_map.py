@@ -278,14 +278,15 @@ def alternative_lines(spark: SparkSession, d: str) -> DataFrame:
     return near.select("assigned", F.col("id").alias("neighbor"), F.round("score", 6).alias("sim"))
 
 
-@query("WITH s AS (SELECT CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS topic, count(*) AS n FROM embeddings GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY topic = -1, topic) AS BIGINT) AS line, CASE WHEN topic = -1 THEN 'Noise' ELSE 'Topic ' || topic END AS name, n, printf('%.1f %%', 100.0 * n / sum(n) OVER ()) AS share FROM s")
+@query("WITH s AS (SELECT CASE WHEN vec_id % 10 = 0 THEN -1 ELSE label END AS topic, count(*) AS n FROM embeddings GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY topic = -1, topic) AS BIGINT) AS line, CASE WHEN topic = -1 THEN 'Noise' ELSE 'Topic ' || topic END AS name, n, (2000 * n + sum(n) OVER ()) // (2 * sum(n) OVER ()) // 10 || '.' || (2000 * n + sum(n) OVER ()) // (2 * sum(n) OVER ()) % 10 || ' %' AS share FROM s")
 def topic_table(spark: SparkSession, d: str) -> DataFrame:
     """Topics for display: noise last, with shares of all documents."""
     sizes = _labels(spark, d, 0).groupBy(F.col("label").alias("topic")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
     name = F.when(F.col("topic") == -1, "Noise").otherwise(F.concat(F.lit("Topic "), F.col("topic").cast("string")))
     line = F.row_number().over(W.orderBy(F.col("topic") == -1, "topic")).cast("long")
-    return sizes.crossJoin(F.broadcast(total)).select(line.alias("line"), name.alias("name"), "n", F.format_string("%.1f %%", 100.0 * F.col("n") / F.col("total")).alias("share"))
+    tenths = F.expr("(2000 * n + total) div (2 * total)")
+    return sizes.crossJoin(F.broadcast(total)).select(line.alias("line"), name.alias("name"), "n", F.format_string("%d.%d %%", F.floor(tenths / 10), tenths % 10).alias("share"))
 
 
 @query(V + " SELECT CAST(row_number() OVER (ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.id) AS BIGINT) AS rank, b.id AS vec_id, b.label AS topic, round(list_cosine_similarity(a.vec, b.vec), 3) AS similarity FROM v a, v b WHERE a.id = 0 AND b.id <> 0 QUALIFY rank <= 8")
