@@ -67,6 +67,26 @@ def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, name: str = "maybe", bi
     )
 
 
+#: Keys that hold a thousandth of all rows or more; there are a thousand at most, whatever the input.
+HOT = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` with the columns of their group. ``groups`` has one row for each key, ``n`` counts its rows.
+
+    Hot keys, HOT at most, are matched by broadcast, and their rows, which then match nothing else, are dealt at random; so no task gets more
+    than its share and a thousandth of the rows.
+    """
+    cols = [c for c in groups.columns if c != key]
+    total = groups.agg(F.sum(n).alias("total__"))
+    hot = groups.crossJoin(F.broadcast(total)).filter(F.col(n) * HOT >= F.col("total__")).select(F.col(key).alias("hk__"), F.struct(*cols).alias("hot__"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hk__"), "left")
+    dealt = marked.withColumn("salt__", F.when(F.col("hk__").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) + 1))
+    other = groups.select(F.col(key).alias("gk__"), F.least(F.col(n), F.lit(0)).cast("long").alias("gs__"), F.struct(*cols).alias("g__"))
+    joined = dealt.join(other, (F.col(key) == F.col("gk__")) & (F.col("salt__") == F.col("gs__")), "left")
+    return joined.select(*rows.columns, *(F.when(F.col("hk__").isNotNull(), F.col(f"hot__.{c}")).otherwise(F.col(f"g__.{c}")).alias(c) for c in cols))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place on a uint64 array (splitmix64's constants)."""
     x ^= x >> np.uint64(30)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, maybe_in, mix64, release, sketch, text_or_empty
+from corpuslens.llm.common import buckets, cut_lineage, join_groups, maybe_in, mix64, release, sketch, text_or_empty
 from corpuslens.llm.spans import PACKED, SLICE_BYTES, Words, bucket_of, counts, flat, lists, per_document, slices, text_buffers
 from corpuslens.llm.substring_dedup import MESSAGE, ask, live_keys
 
@@ -195,10 +195,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = join_groups(both, least, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, least, "u", "n").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = cut_lineage(small.union(least.select("u", "m")).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
@@ -284,12 +284,10 @@ def classes(docs: DataFrame) -> DataFrame:
     linked = told.join(nodes, "ck")
     first = F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "ck"))
     least = linked.groupBy("grp").agg(first.alias("least"))
-    by_text = nodes.join(linked.join(least, "grp").select("ck", "least", "links"), "ck", "left")
+    by_text = cut_lineage(nodes.join(linked.join(least, "grp").select("ck", "least", "links"), "ck", "left").join(_wordless(rows), "ck", "left"))
     links = F.when(F.col("none"), 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     return (
-        rows.select("id", "ck")
-        .join(by_text, "ck")
-        .join(_wordless(rows), "ck", "left")
+        join_groups(rows.select("id", "ck"), by_text, "ck", "copies")
         .withColumn("none", F.coalesce("none", F.lit(False)))
         .withColumn("least", F.coalesce("least", F.struct(F.col("rep").isNull().alias("null"), "rep", "ck")))
         .select(F.col("id").alias("doc_id"), F.col("rep").alias("rep_id"), F.col("least.rep").alias("class_id"), links.alias("n_links"), F.col("ck").alias("text_key"), F.col("least.ck").alias("class_key"))

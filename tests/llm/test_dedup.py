@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import cut_lineage, join_groups
 from corpuslens.llm import exact_dedup, near, stages, substring_dedup, suffix_dedup
 
 
@@ -152,6 +153,14 @@ def test_near_with_null_and_repeated_ids(docs, rows):
     assert len(copies) == 2 and all(r.n_links == 1 and r.class_id == 300 for r in copies)
 
 
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.range(4000).select((F.when(F.col("id") < 1500, 7).otherwise(F.col("id"))).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.when(F.min("id") > 0, F.min("id")).alias("least"))
+    got = join_groups(rows, groups, "k", "n")
+    assert got.count() == 4000 and got.filter("k = 7").select("n", "least").distinct().collect() == [(1500, None)]
+    assert got.filter("k <> 7 and (n <> 1 or least <> id)").count() == 0
+
+
 def test_near_large_group(spark):
     """Hundreds of different near copies of one text: linear edges, exact links."""
     import random
@@ -179,7 +188,7 @@ def test_components(spark):
 
 
 def test_stage_keeps_one_of_each(docs, rows):
-    kept = stages.without_copies(docs)
+    kept = cut_lineage(stages.without_copies(docs))
     assert kept.columns == docs.columns
     texts = [r.text or "" for r in kept.collect()]
     assert sorted(texts) == sorted({t or "" for _, t in rows})
