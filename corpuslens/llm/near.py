@@ -7,8 +7,8 @@ those that none has reached, so a group of n near copies costs about n compariso
 Within a component every pair is verified exactly: shared shingles are counted by products of 0/1 matrices, block by block. No pair is
 ever a row. A pair at the threshold is missed with a probability below 1e-7 (32 bands of 4: 0.59 ** 32), pruning adds about TOLERANCE.
 
-Copies are merged before texts or signatures are shuffled, so they may be any number. A group of different texts that agree in one
-band, and a component's texts, must fit a task.
+Copies are merged before texts or signatures are shuffled, so they may be any number. A component of more than BLOCK texts is verified in
+pairs of blocks, each a group of its own. The signatures (136 bytes each) of different texts that agree in one band must fit a task.
 
 Defined results: null text and text without words have no shingles and no links, each a class of its copies; class_id and rep_id are the
 smallest ids, null if there is none; rows that repeat an id and its text are copies; an empty table gives no rows; other columns are not
@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS, TOLERANCE = (16, 32, 64, HASHES), 1e-7
 MATRIX_ROWS = 1024
+#: Texts of a component that are verified together.
+BLOCK = 4096
 _FACTORS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -203,25 +205,27 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def _linked(grams: list[np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the members of a component: the first member that each is connected with by links, and how many documents each is linked to."""
+def _linked(grams: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For the members of a component: the first member that each is connected with by links, and how many documents each is linked to.
+    With ``side`` (0 or 1 for each) only links between the sides count."""
     n = len(grams)
     size = np.array([len(g) for g in grams])
     _, word, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), size)
     shared = times[word] > 1
+    width = int((times > 1).sum())
     number = np.cumsum(times > 1) - 1
     word, owner = number[word[shared]], owner[shared]
     bounds = np.searchsorted(owner, np.arange(n + 1))
     parent, links = np.arange(n), np.zeros(n, np.int64)
 
     def rows(lo: int, hi: int) -> np.ndarray:
-        m = np.zeros((hi - lo, int((times > 1).sum())), np.float32)
+        m = np.zeros((hi - lo, width), np.float32)
         part = slice(bounds[lo], bounds[hi])
         m[owner[part] - lo, word[part]] = 1
         return m
 
-    step = max(1, min(MATRIX_ROWS, (48 << 20) // (4 * max(1, int((times > 1).sum())))))
+    step = max(1, min(MATRIX_ROWS, (48 << 20) // (4 * max(1, width))))
     for lo in range(0, n, step):
         hi = min(lo + step, n)
         left = rows(lo, hi)
@@ -229,6 +233,8 @@ def _linked(grams: list[np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np
             hi2 = min(lo2 + step, n)
             both = (left @ (left if lo2 == lo else rows(lo2, hi2)).T).astype(np.int64)
             near = (NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (size[lo:hi, None] + size[None, lo2:hi2])
+            if side is not None:
+                near &= side[lo:hi, None] != side[None, lo2:hi2]
             if lo2 == lo:
                 np.fill_diagonal(near, False)
             links[lo:hi] += near @ copies[lo2:hi2]
@@ -247,23 +253,44 @@ def _linked(grams: list[np.ndarray], copies: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _verify(table: pa.Table) -> pa.Table:
+    """Exact links within each component, or between two blocks of one: ck, the first member it is connected with here, links found here."""
     table = table.sort_by([("root", "ascending"), ("ck", "ascending")]).combine_chunks()
     data, off = text_buffers(table.column("t"))
     grams: list[np.ndarray] = []
     for i, j in slices(off, SLICE_BYTES):
         value, doc = shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i]))
         grams += np.split(value, np.searchsorted(doc, np.arange(1, j - i)))
-    root, copies = table.column("root").to_numpy(), table.column("copies").to_numpy()
+    root, copies, block = (table.column(c).to_numpy() for c in ("root", "copies", "block"))
+    apart = table.column("lo").to_numpy() != table.column("hi").to_numpy()
     ck, links = table.column("ck").to_numpy(), np.zeros(table.num_rows, np.int64)
     group = ck.copy()
     head = np.flatnonzero(np.r_[True, root[1:] != root[:-1]]) if len(root) else []
     for lo, hi in zip(head, [*head[1:], len(root)], strict=True):
-        parent, links[lo:hi] = _linked(grams[lo:hi], copies[lo:hi])
+        side = (block[lo:hi] == table.column("hi").to_numpy()[lo:hi]).astype(np.int8) if apart[lo] else None
+        parent, links[lo:hi] = _linked(grams[lo:hi], copies[lo:hi], side)
         group[lo:hi] = ck[lo + parent]
-    return pa.table({"ck": pa.array(ck), "grp": pa.array(group), "links": pa.array(links)})
-
-
-def classes(docs: DataFrame) -> DataFrame:
+    return pa.table({"ck": pa.array(ck), "grp": pa.array(group), "links": pa.array(links), "split": table.column("split")})
+
+
+def verified(members: DataFrame, n: int, block: int) -> DataFrame:
+    """ck, grp, links of the members (root, ck, copies, t) of candidate components. A component of more than ``block`` texts is dealt to pairs of
+    blocks, each a task's group; their links are added, and what they connect is connected by components of a spanning forest."""
+    size = members.groupBy("root").agg(F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.join(size, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    bucket = F.pmod(F.xxhash64("root", lo, hi), F.lit(n)).cast("int")
+    asked = pairs.select(bucket.alias("bucket"), "root", lo.alias("lo"), hi.alias("hi"), (F.col("blocks") > 1).alias("split"), "block", "ck", "copies", "t")
+    told = cut_lineage(asked.groupBy("bucket", "lo", "hi").applyInArrow(_verify, "ck bigint, grp bigint, links bigint, split boolean"))
+    whole = told.filter("not split").select("ck", "grp", "links")
+    parts = told.filter("split")
+    joined = components(parts.select(F.col("ck").alias("a"), F.col("grp").alias("b")))
+    added = parts.groupBy("ck").agg(F.sum("links").alias("links")).join(joined, F.col("ck") == F.col("node"), "left")
+    return whole.union(added.select("ck", F.coalesce("root", "ck").alias("grp"), "links"))
+
+
+def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, rep_id (smallest id of its copies), class_id (smallest id of its near-duplicate class), n_links (other
     documents whose similarity is at the threshold or more, copies counted), text_key (64 bits of the text), class_key (that of class_id)."""
     n = buckets(docs)
@@ -279,8 +306,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     texts = maybe_in(rows.select("ck", "t"), "ck", sketch(found, "node")).filter("maybe").groupBy("ck").agg(F.first("t").alias("t"))
     members = texts.join(found, F.col("ck") == F.col("node")).join(nodes.select(F.col("ck").alias("node"), "copies"), "node")
-    asked = members.select(F.pmod(F.xxhash64("root"), F.lit(n)).cast("int").alias("bucket"), "root", "ck", "copies", "t")
-    told = cut_lineage(asked.groupBy("bucket").applyInArrow(_verify, "ck bigint, grp bigint, links bigint"))
+    told = cut_lineage(verified(members.select("root", "ck", "copies", "t"), n, block))
     linked = told.join(nodes, "ck")
     first = F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "ck"))
     least = linked.groupBy("grp").agg(first.alias("least"))

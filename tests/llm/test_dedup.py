@@ -173,8 +173,10 @@ def test_near_large_group(spark):
         for _ in range(i % 5):
             words[rng.randrange(150)] = f"e{rng.randrange(99)}"
         rows.append((i, " ".join(words)))
-    got = near.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)).collect()
-    assert {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in got} == near.brute(dict(rows))
+    brute = near.brute(dict(rows))
+    for block in (near.BLOCK, 64):
+        got = near.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), block).collect()
+        assert {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in got} == brute
 
 
 def test_near_empty(empty):
