@@ -136,6 +136,9 @@ class Model:
             return [self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass")]
         if not self.whole and any(c not in self.ids for c in part):
             return [i for x in self._runs(part) for i in self._part(x)]
+        whole = self.ids.get(part)
+        if whole is not None and self.found.exists(part):
+            return [whole]  # the longest piece at its start
         size, shorter, known, compatible = self.size, self.shorter, self.fits.get, self.compatible
         n = len(part)
         longest: list[int] = [-1] * n
@@ -192,9 +195,16 @@ class Model:
     def encode(self, text: str) -> array:
         out = array("i")
         if text:
-            missing = self.__missing
+            kept, missing = self.kept, self.__missing
+            get = kept.get
             for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
-                out += self.kept.get(part) or missing(part)
+                ids = get(part)
+                if ids is None:
+                    ids = missing(part)
+                    if self.kept is not kept:
+                        kept = self.kept
+                        get = kept.get
+                out += ids
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
