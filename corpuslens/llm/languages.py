@@ -30,7 +30,7 @@ BITS = 14
 BUCKETS = 1 << BITS
 #: Added to each count; candidates for a mixture; EM steps; log-likelihood that a further language must gain, per log of trigrams.
 SMOOTH, CANDIDATES, STEPS, PENALTY = 0.5, 3, 10, 4.0
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 
 @lru_cache(1)

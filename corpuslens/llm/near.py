@@ -225,7 +225,7 @@ def _linked(grams: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None
         m[owner[part] - lo, word[part]] = 1
         return m
 
-    step = max(1, min(MATRIX_ROWS, (48 << 20) // (4 * max(1, width))))
+    step = max(1, min(MATRIX_ROWS, (16 << 20) // (4 * max(1, width))))
     for lo in range(0, n, step):
         hi = min(lo + step, n)
         left = rows(lo, hi)
