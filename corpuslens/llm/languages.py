@@ -1,9 +1,10 @@
 """Language ID by mixture inference.
 
 Counts of hashed letter trigrams are learned for each language over all labelled documents. A document is a mixture: a trigram has
-probability sum of p(language) p(trigram | language), and expectation-maximisation estimates the proportions. The candidates are the languages
-that explain the document best alone. Starting from the best, the language with the greatest proportion among the rest joins the set while
-the likelihood gains more than a penalty per language; the prediction is the greatest proportion within the chosen set.
+probability sum of p(language) p(trigram | language), and expectation-maximisation estimates the proportions over all learned languages.
+Starting from the language that explains the document best alone, each other, the greatest proportion first, joins the set if the likelihood
+gains more than a penalty per language; then each whose loss costs no more than the penalty leaves. The prediction is the greatest proportion
+within the chosen set. Documents whose likelihood can't gain so much from any set (a bound of the concave likelihood says so) are not tried.
 
 Counts cover every learned document; a model is (languages x BUCKETS) numbers, whatever the corpus. Documents are not cut.
 
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BITS = 14
 BUCKETS = 1 << BITS
-#: Added to each count; candidates for a mixture; EM steps; log-likelihood that a further language must gain, per log of trigrams.
-SMOOTH, CANDIDATES, STEPS, PENALTY = 0.5, 3, 10, 4.0
-SLICE_CHARS = 1 << 19
+#: Added to each count; trigrams of doubt in a share; EM steps; log-likelihood that a further language must gain, per log of trigrams.
+SMOOTH, DOUBT, STEPS, PENALTY = 0.5, 3, 10, 4.0
+#: Characters worked on at once, with no more than FEW languages; fewer with more.
+SLICE_CHARS, FEW = 1 << 19, 4
 
 
 @lru_cache(1)
@@ -58,10 +60,10 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint64(64 - BITS)).astype(np.int64)[good], doc[:-2][good]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str], languages: int = FEW) -> Iterator[tuple[int, int]]:
     lo = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > SLICE_CHARS:
+        if held and held + len(t) > SLICE_CHARS * FEW // max(FEW, languages):
             yield lo, i
             lo, held = i, 0
         held += len(t)
@@ -106,7 +108,7 @@ def learn(docs: DataFrame) -> Languages:
 
 
 def _mixture(p: np.ndarray, weight: np.ndarray, doc: np.ndarray, heads: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions for each document over its candidates in ``use``, and log-likelihood. p: (entries, candidates)."""
+    """Proportions for each document over its languages in ``use``, and log-likelihood. p: (entries, languages)."""
     theta = use / use.sum(axis=1, keepdims=True)
     total = np.add.reduceat(weight, heads)[:, None]
     for _ in range(STEPS):
@@ -116,6 +118,51 @@ def _mixture(p: np.ndarray, weight: np.ndarray, doc: np.ndarray, heads: np.ndarr
     return theta, np.add.reduceat(weight * np.log((p * theta[doc]).sum(axis=1)), heads)
 
 
+def _refit(p: np.ndarray, weight: np.ndarray, doc: np.ndarray, pick: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_mixture`` of the documents at ``pick`` (ascending) alone, over the columns that their sets need."""
+    rows = np.flatnonzero(np.isin(doc, pick))
+    sub = np.searchsorted(pick, doc[rows])
+    cols = np.argsort(-use, axis=1, kind="stable")[:, : int(use.sum(axis=1).max())]
+    small, likely = _mixture(p[rows[:, None], cols[sub]], weight[rows], sub, np.flatnonzero(np.r_[True, sub[1:] != sub[:-1]]), np.take_along_axis(use, cols, axis=1))
+    theta = np.zeros(use.shape)
+    np.put_along_axis(theta, cols, small, axis=1)
+    return theta, likely
+
+
+def _sets(p: np.ndarray, weight: np.ndarray, doc: np.ndarray, heads: np.ndarray, alone: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Proportions for each document over its set of languages of penalised likelihood."""
+    k, every = p.shape[1], np.arange(len(heads))
+    theta, likely = _mixture(p, weight, doc, heads, np.ones((len(heads), k)))
+    # no mixture of any languages is likelier than this
+    mix = (p * theta[doc]).sum(axis=1)
+    bound = likely + np.add.reduceat(p * (weight / mix)[:, None], heads, axis=0).max(axis=1) - n
+    order = np.argsort(-theta, axis=1, kind="stable")
+    need = PENALTY * np.log(n + 1)
+    best = alone.argmax(axis=1)
+    now, result = alone[every, best], np.zeros((len(heads), k))
+    result[every, best] = 1
+    chosen = result.copy()
+    for j in range(k):
+        pick = np.flatnonzero((chosen[every, order[:, j]] == 0) & (bound - now > need))
+        if len(pick):
+            use = chosen[pick]
+            use[np.arange(len(pick)), order[pick, j]] = 1
+            mixed, likely = _refit(p, weight, doc, pick, use)
+            joins = likely - now[pick] > need[pick]
+            chosen[pick[joins]], result[pick[joins]], now[pick[joins]] = use[joins], mixed[joins], likely[joins]
+    order = np.argsort(result, axis=1, kind="stable")
+    for j in range(k):
+        # a set of two has gained more than the penalty over either alone
+        pick = np.flatnonzero((chosen[every, order[:, j]] == 1) & (chosen.sum(axis=1) > 2))
+        if len(pick):
+            use = chosen[pick]
+            use[np.arange(len(pick)), order[pick, j]] = 0
+            mixed, likely = _refit(p, weight, doc, pick, use)
+            leaves = now[pick] - likely <= need[pick]
+            chosen[pick[leaves]], result[pick[leaves]], now[pick[leaves]] = use[leaves], mixed[leaves], likely[leaves]
+    return result
+
+
 def infer(model: Languages, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Predicted languages and scores."""
     out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -128,29 +175,15 @@ def infer(model: Languages, texts: list[str]) -> tuple[list[str], np.ndarray]:
     doc, grams = pairs[head] >> BITS, pairs[head] & (BUCKETS - 1)
     heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     which, doc = doc[heads], np.cumsum(np.r_[False, doc[1:] != doc[:-1]])
-    alone = np.add.reduceat(model.log_p.T[grams] * weight[:, None], heads, axis=0)
-    k = min(CANDIDATES, len(model.names))
-    best = np.argsort(-alone, axis=1, kind="stable")[:, :k]
-    p = np.exp(model.log_p[best[doc], grams[:, None]])
+    log_p = model.log_p.T[grams]
+    alone = np.add.reduceat(log_p * weight[:, None], heads, axis=0)
     n = np.add.reduceat(weight, heads)
-    theta, _ = _mixture(p, weight, doc, heads, np.ones((len(heads), k)))
-    # the best alone comes first, the others by their proportion among all candidates
-    order = np.argsort(np.r_["1", np.full((len(heads), 1), -2.0), -theta[:, 1:]], axis=1, kind="stable")
-    chosen = np.zeros((len(heads), k))
-    chosen[:, 0] = 1
-    now = alone[np.arange(len(heads)), best[:, 0]]
-    result, open_ = chosen.copy(), np.ones(len(heads), bool)
-    for j in range(1, k):
-        chosen[np.arange(len(heads)), order[:, j]] = 1
-        mixed, likely = _mixture(p, weight, doc, heads, chosen)
-        open_ &= likely - now > PENALTY * np.log(n + 1)
-        result[open_] = mixed[open_]
-        now = np.where(open_, likely, now)
+    result = _sets(np.exp(log_p), weight, doc, heads, alone, n)
     top = result.argmax(axis=1)
     share = result[np.arange(len(heads)), top]
     # a few trigrams don't make a proportion certain
-    share = (n * share + 1) / (n + k)
-    for d, i, s in zip(which.tolist(), best[np.arange(len(heads)), top].tolist(), share.tolist(), strict=True):
+    share = (n * share + 1) / (n + min(DOUBT, len(model.names)))
+    for d, i, s in zip(which.tolist(), top.tolist(), share.tolist(), strict=True):
         out[d], score[d] = model.names[i], s
     return out, score
 
@@ -160,7 +193,7 @@ def _predict(model: Languages):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, scores = [], []
-            for lo, hi in _chunks(texts):
+            for lo, hi in _chunks(texts, len(model.names)):
                 n, s = infer(model, texts[lo:hi])
                 names += n
                 scores.append(s)
@@ -175,7 +208,7 @@ def told(model: Languages):
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         texts = [t or "" for t in texts]
-        parts = [infer(model, texts[lo:hi]) for lo, hi in _chunks(texts)]
+        parts = [infer(model, texts[lo:hi]) for lo, hi in _chunks(texts, len(model.names))]
         return pd.DataFrame({"lang_pred": [n for names, _ in parts for n in names], "score": np.concatenate([s for _, s in parts]) if parts else np.zeros(0)})
 
     return run

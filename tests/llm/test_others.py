@@ -150,6 +150,27 @@ def test_language_mixture():
     assert scores[0] > 0.95 and 0.5 < scores[1] < 0.85
 
 
+def kin(rng):
+    """A model of a language, three relatives that share most of its words, and a stranger; and words of each."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    stem = [word() for _ in range(60)]
+    words = {"a": stem} | {f"a{i}": stem[:45] + [word() for _ in range(15)] for i in (1, 2, 3)} | {"b": [word() for _ in range(60)]}
+    table = np.stack([np.bincount(languages.trigrams([" ".join(rng.choices(w, k=4000))])[0], minlength=languages.BUCKETS) + 0.5 for w in words.values()])
+    return languages.Languages(tuple(words), np.log(table / table.sum(axis=1, keepdims=True))), words
+
+
+def test_language_mixture_sees_every_language():
+    rng = random.Random(11)
+    model, words = kin(rng)
+    # four languages explain it better alone than the one that fifteen in a hundred words are in
+    texts = [" ".join(rng.choices(words["a"], k=850) + rng.choices(words["b"], k=150)) for _ in range(5)]
+    names, scores = languages.infer(model, texts)
+    assert names == ["a"] * 5 and all(0.8 < s < 0.9 for s in scores)
+    # no part is lost among relatives: one third each
+    names, scores = languages.infer(model, [" ".join(rng.choices(words["a1"], k=500) + rng.choices(words["a2"], k=500) + rng.choices(words["b"], k=600))])
+    assert names == ["b"] and 0.32 < scores[0] < 0.43
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(3)
     rows, labels = [], []
