@@ -6,6 +6,9 @@ Starting from the language that explains the document best alone, each other, th
 gains more than a penalty per language; then each whose loss costs no more than the penalty leaves. The prediction is the greatest proportion
 within the chosen set. Documents whose likelihood can't gain so much from any set (a bound of the concave likelihood says so) are not tried.
 
+How much of a document is in learned languages at all (``known``) is the proportion, by the same estimation, of its mixture against trigrams
+that are all equally likely: about 1 for learned languages, less for others by how near they are, about 0 for random letters.
+
 Counts cover every learned document; a model is (languages x BUCKETS) numbers, whatever the corpus. Documents are not cut.
 
 Defined results: null or letterless text is ``und`` with score 0; a document without a learned language at hand (nothing to learn from) is
@@ -165,10 +168,15 @@ def _sets(p: np.ndarray, weight: np.ndarray, doc: np.ndarray, heads: np.ndarray,
 
 def infer(model: Languages, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Predicted languages and scores."""
-    out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    return _infer(model, texts, False)[:2]
+
+
+def _infer(model: Languages, texts: list[str], weigh: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted languages, scores and, if asked for, the shares known."""
+    out, score, known = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     grams, doc = trigrams(texts)
     if not len(grams) or not model.names:
-        return out, score
+        return out, score, known
     pairs = np.sort(doc << BITS | grams)
     head = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
     weight = np.diff(np.r_[head, len(pairs)]).astype(float)
@@ -178,14 +186,18 @@ def infer(model: Languages, texts: list[str]) -> tuple[list[str], np.ndarray]:
     log_p = model.log_p.T[grams]
     alone = np.add.reduceat(log_p * weight[:, None], heads, axis=0)
     n = np.add.reduceat(weight, heads)
-    result = _sets(np.exp(log_p), weight, doc, heads, alone, n)
+    p = np.exp(log_p)
+    result = _sets(p, weight, doc, heads, alone, n)
+    if weigh:
+        both = np.stack([(p * result[doc]).sum(axis=1), np.full(len(doc), 1 / BUCKETS)], axis=1)
+        known[which] = _mixture(both, weight, doc, heads, np.ones((len(heads), 2)))[0][:, 0]
     top = result.argmax(axis=1)
     share = result[np.arange(len(heads)), top]
     # a few trigrams don't make a proportion certain
     share = (n * share + 1) / (n + min(DOUBT, len(model.names)))
     for d, i, s in zip(which.tolist(), top.tolist(), share.tolist(), strict=True):
         out[d], score[d] = model.names[i], s
-    return out, score
+    return out, score, known
 
 
 def _predict(model: Languages):
@@ -203,13 +215,14 @@ def _predict(model: Languages):
 
 
 def told(model: Languages):
-    """A column function: text to a struct of lang_pred and score."""
+    """A column function: text to a struct of lang_pred, score and known, the share that the learned languages explain (0 to 1)."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double")
     def run(texts: pd.Series) -> pd.DataFrame:
         texts = [t or "" for t in texts]
-        parts = [infer(model, texts[lo:hi]) for lo, hi in _chunks(texts, len(model.names))]
-        return pd.DataFrame({"lang_pred": [n for names, _ in parts for n in names], "score": np.concatenate([s for _, s in parts]) if parts else np.zeros(0)})
+        parts = [_infer(model, texts[lo:hi], True) for lo, hi in _chunks(texts, len(model.names))]
+        join = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0)
+        return pd.DataFrame({"lang_pred": [n for names, _, _ in parts for n in names], "score": join(1), "known": join(2)})
 
     return run
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from corpuslens.llm import exact_dedup, languages, mixing, near, pieces
 from corpuslens.llm.common import maybe_in, sketch, text_or_empty
 
-#: A document is rejected if no language has so great a share of it.
-LEAST_SHARE = 0.2
+#: A document is rejected if no language has so great a share of it, or all learned languages together don't explain so much.
+LEAST_SHARE, LEAST_KNOWN = 0.2, 0.5
 
 
 def _keyed(docs: DataFrame, text_key) -> DataFrame:
@@ -30,10 +30,13 @@ def _keep(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """Documents in a language that can be told, by a model of the given labels."""
+    """Documents in a language that can be told, by a model of the given labels.
+
+    Rejected are texts without letters, letter junk, texts in languages that are not near a learned one, and mixtures of so many that none has a share.
+    """
     model = languages.learn(docs)
     told = docs.withColumn("told__", languages.told(model)("text"))
-    return told.filter((F.col("told__.lang_pred") != languages.UNKNOWN) & (F.col("told__.score") >= LEAST_SHARE)).drop("told__")
+    return told.filter((F.col("told__.lang_pred") != languages.UNKNOWN) & (F.col("told__.known") >= LEAST_KNOWN) & (F.col("told__.score") * F.col("told__.known") >= LEAST_SHARE)).drop("told__")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

@@ -171,6 +171,20 @@ def test_language_mixture_sees_every_language():
     assert names == ["b"] and 0.32 < scores[0] < 0.43
 
 
+def test_identified_rejects(spark):
+    rng = random.Random(12)
+    _, words = kin(rng)
+    say = lambda w, n: " ".join(rng.choices(w, k=n))
+    text = {f"{k}-{i}": (say(words[k], 200), k) for k in ("a", "b") for i in range(20)}
+    # no label: none of these teach anything
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]
+    text |= {"junk": (say(junk, 200), None), "other script": (say(["привет", "мир", "слово", "жизнь", "город"], 200), None), "letterless": ("123 !!", None), "null": (None, None)}
+    text |= {"mostly a": (say(words["a"], 150) + " " + say(junk, 50), None), "mostly junk": (say(words["a"], 40) + " " + say(junk, 160), None)}
+    frame = spark.createDataFrame([(k, t, lang) for k, (t, lang) in text.items()], "name string, text string, lang string")
+    got = {r.name for r in stages.identified(frame).collect()}
+    assert got == {k for k in text if k[:2] in ("a-", "b-")} | {"mostly a"}
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(3)
     rows, labels = [], []
