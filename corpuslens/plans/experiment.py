@@ -69,7 +69,7 @@ def execute(vectors: Mapping[str, DataFrame], grid: Grid, reduce: Callable[[Data
         for seed in grid.seeds:
             small = reduce(vec, grid.dimensions, seed).cache()
             for run in (r for r in runs([name], grid) if r.seed == seed):
-                found = learn.kmeans(small, run.parameter, seed, starts=1) if run.algorithm == "kmeans" else learn.density(small, run.parameter).select("id", "label")
+                found = learn.kmeans(small, run.parameter, seed) if run.algorithm == "kmeans" else learn.density(small, run.parameter).select("id", "label")
                 found = found.withColumn("label", F.col("label").cast("int")).cache()
                 key = [F.lit(v).alias(k) for k, v in ({"run_id": run.run_id} | asdict(run)).items()]
                 labels.append(found.select(*key, "id", "label"))

@@ -93,3 +93,11 @@ def test_files(spark, tmp_path):
     coded = files.encode(spark.createDataFrame([("k", "ab"), ("k", "ab")], "cache_key string, text string"), lambda ts: [[float(len(t))] for t in ts])
     assert [tuple(r) for r in coded.collect()] == [("k", [2.0])]
     assert files.markdown(df.orderBy("x"), "T").splitlines()[-1] == "| 2 | b |"
+
+
+def test_grid_takes_the_best_of_ten_starts(spark, monkeypatch):
+    seeds, real = [], experiment.learn.KMeans
+    monkeypatch.setattr(experiment.learn, "KMeans", lambda **kw: seeds.append(kw["seed"]) or real(**kw))
+    vec = spark.createDataFrame([(i, [float(i % 3), float(i % 2), 1.0]) for i in range(12)], "id bigint, vec array<double>").coalesce(1)
+    experiment.execute({"r": vec}, experiment.Grid(seeds=(4,), ks=(2,), dimensions=2))
+    assert seeds == list(range(4, 14))
