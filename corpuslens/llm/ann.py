@@ -4,15 +4,19 @@ Vectors are packed in blocks, quantised to int8 with a scale each. The stated qu
 block, group of candidate blocks) cells dealt by key; no row meets a row in a join. In a cell a tile is one product of int8 matrices. As
 x = x' + e with x' the quantised vector, |x.y - x'.y'| <= |e_x| |y| + |x'| |e_y|, which bounds each product from both sides. A pair
 whose upper bound is below the k-th best lower bound of its query can't be among the k nearest; the others are recomputed in
-double precision and merged into the query's heap, which runs over all blocks of the cell. Heaps of cells are merged last.
-Of equal vectors in a block only the k+1 smallest ids can matter, so copies don't multiply survivors.
+double precision and go through the query's heap of k, which runs over all blocks of the cell. Heaps of cells are merged last.
+Of equal vectors in a block only the k smallest ids beside the query's own can matter, so copies don't multiply survivors.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part; null ids
-take no part; a repeated id is one candidate a row; fewer candidates than k are all returned; ties go to the smaller id.
+take no part; a repeated id is one candidate a row, and one query a row with k rows of its own; a query's own candidates are all rows of its
+id; fewer candidates than k are all returned; ties go to the smaller id. Ids are read as bigint.
+
+Work and shuffle grow with queries times vectors: each block goes to every cell of the other side.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import mix64
+
 #: Rows of a block, and about how many query and candidate rows meet in a cell of the grid.
 BLOCK, QUERY_CELL, CELL_ROWS = 4096, 16384, 16384
 CELL = "qb int, cg int, role string, n int, ids array<bigint>, vectors binary"
-OUT = "query_id bigint, vec_id bigint, score double"
+OUT = "query_id bigint, qb int, mark bigint, nth int, vec_id bigint, score double"
+#: Components whose products of codes are added in float32 at once: 127 * 127 * SUM < 2^24, so the sums are exact.
+SUM = 1024
 
 
 def _pack(role: str, block: int):
@@ -51,7 +59,7 @@ def _pack(role: str, block: int):
 
 
 class Quantised:
-    """int8 codes (as float32, whose products of codes are exact), scale, length of the code vector and of the error."""
+    """int8 codes, scale, length of the vector, of the code vector and of the error."""
 
     def __init__(self, x: np.ndarray):
         self.scale = np.abs(x).max(axis=1) / 127
@@ -70,35 +78,60 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _merge(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query."""
-    order = np.lexsort((ids, -scores, qi))
-    qi, ids, scores = qi[order], ids[order], scores[order]
-    head = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]]) if len(qi) else np.zeros(0, np.int64)
-    nth = np.arange(len(qi)) - np.repeat(head, np.diff(np.r_[head, len(qi)]))
-    return qi[nth < k], ids[nth < k], scores[nth < k]
+def _tile(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of int8 codes, exact."""
+    out = np.zeros((len(q), len(c)))
+    for d in range(0, q.shape[1], SUM):
+        out += q[:, d : d + SUM].astype(np.float32) @ c[:, d : d + SUM].astype(np.float32).T
+    return out
+
+
+def _push(heap: list[tuple[float, int]], k: int, score: float, vec_id: int) -> None:
+    """Keeps the k largest scores, ties to the smaller id."""
+    item = (score, -vec_id)
+    if len(heap) < k:
+        heapq.heappush(heap, item)
+    elif item > heap[0]:
+        heapq.heapreplace(heap, item)
+
+
+def _nth(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Numbers rows that share an id and a vector."""
+    order = np.lexsort((marks, ids))
+    new = np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0)]
+    head = np.flatnonzero(new)
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids)) - head[np.cumsum(new) - 1]
+    return out
 
 
 def _thin(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows of a block without those that k+1 equal vectors with smaller ids precede."""
+    """Rows of a block without those that k equal vectors with smaller ids precede, whichever one id is left out of these."""
     _, same = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_inverse=True)
     order = np.lexsort((ids, same))
-    s = same[order]
-    head = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    nth = np.arange(len(s)) - np.repeat(head, np.diff(np.r_[head, len(s)]))
-    return np.sort(order[nth <= k])
+    s, i = same[order], ids[order]
+    at = np.arange(len(s))
+    new = np.r_[True, s[1:] != s[:-1]]
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    again = at - np.maximum.accumulate(np.where(new | np.r_[True, i[1:] != i[:-1]], at, 0)) + 1
+    group = np.cumsum(new) * np.int64(len(s) + 1)
+    most = np.maximum.accumulate(group + again) - group  # rows that one id has at most, so far
+    before = np.where(new, 0, np.r_[0, most[:-1]])
+    return np.sort(order[nth - before < k])
 
 
 def _cell(k: int, kind: type):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         asks = [r for r in rows if r["role"] == "q"]
-        best = None
+        heaps: list[list[tuple[float, int]]] = []
+        q_ids = marks = np.zeros(0, np.int64)
         if asks:
             q_ids = np.concatenate([np.array(r["ids"], np.int64) for r in asks])
-            q = np.concatenate([np.frombuffer(r["vectors"], kind).reshape(r["n"], -1).astype(np.float64) for r in asks])
-            qz = Quantised(q)
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            raw = np.concatenate([np.frombuffer(r["vectors"], kind).reshape(r["n"], -1) for r in asks])
+            q = raw.astype(np.float64)
+            marks = mix64((np.ascontiguousarray(q).view(np.uint64) * np.arange(1, 2 * q.shape[1], 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)).view(np.int64)
+            qz, heaps = Quantised(q), [[] for _ in q_ids]
             floor = np.full(len(q), -np.inf)
             for r in rows:
                 if r["role"] != "c":
@@ -109,7 +142,7 @@ def _cell(k: int, kind: type):
                 cz = Quantised(c)
                 for lo in range(0, len(q), 512):
                     part = slice(lo, lo + 512)
-                    tile = (qz.code[part].astype(np.float32) @ cz.code.astype(np.float32).T).astype(np.float64) * qz.scale[part, None] * cz.scale
+                    tile = _tile(qz.code[part], cz.code) * qz.scale[part, None] * cz.scale
                     slack = qz.error[part, None] * cz.length + qz.near[part, None] * cz.error
                     slack += 1e-9 * (1 + np.abs(tile))
                     own = q_ids[part, None] == ids
@@ -119,17 +152,25 @@ def _cell(k: int, kind: type):
                         kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1]
                         floor[part] = np.maximum(floor[part], kth)
                     qi, ci = np.nonzero((tile + slack >= floor[part, None]) & ~own)
-                    qi = qi + lo
-                    score = np.concatenate([exact(q[qi[s : s + 65536]], c[ci[s : s + 65536]]) for s in range(0, len(qi), 65536)] or [np.zeros(0)])
-                    best = tuple(np.concatenate(x) for x in zip(best, (qi, ids[ci], score), strict=True))
-                best = _merge(*best, k)
-                full = np.bincount(best[0], minlength=len(q)) >= k
-                last = np.full(len(q), np.inf)
-                np.minimum.at(last, best[0], best[2])
-                floor = np.where(full, np.maximum(floor, last), floor)
-        if best is None:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return pa.table({"query_id": pa.array(q_ids[best[0]]), "vec_id": pa.array(best[1]), "score": pa.array(best[2])})
+                    for s in range(0, len(qi), 65536):
+                        at, of = qi[s : s + 65536] + lo, ci[s : s + 65536]
+                        for i, vec_id, score in zip(at.tolist(), ids[of].tolist(), exact(q[at], c[of]).tolist(), strict=True):
+                            _push(heaps[i], k, score, vec_id)
+                    for i in np.unique(qi).tolist():
+                        if len(heaps[i + lo]) == k:
+                            floor[i + lo] = max(floor[i + lo], heaps[i + lo][0][0])
+        each = [len(h) for h in heaps]
+        best = [(score, -minus) for h in heaps for score, minus in h]
+        return pa.table(
+            {
+                "query_id": pa.array(np.repeat(q_ids, each), pa.int64()),
+                "qb": pa.array(np.full(len(best), rows[0]["qb"] if rows else 0, np.int32)),
+                "mark": pa.array(np.repeat(marks, each), pa.int64()),
+                "nth": pa.array(np.repeat(_nth(q_ids, marks), each).astype(np.int32)) if len(q_ids) else pa.array([], pa.int32()),
+                "vec_id": pa.array([i for _, i in best], pa.int64()),
+                "score": pa.array([s for s, _ in best], pa.float64()),
+            }
+        )
 
     return run
 
@@ -154,13 +195,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK,
     c = c.withColumn("cg", F.pmod("at", F.lit(c_cells)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_cells - 1))))
     cells = q.select("qb", "cg", "role", "n", "ids", "vectors").union(c.select("qb", "cg", "role", "n", "ids", "vectors"))
     tops = cells.groupBy("qb", "cg").applyInArrow(_cell(k, np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64), OUT)
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # the same queries are in all cells of a query block, so id, vector and number name a query row there
+    by = W.partitionBy("query_id", "qb", "mark", "nth").orderBy(F.desc("score"), "vec_id")
     return tops.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH e AS (SELECT row_number() OVER () AS row_no, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+s AS (SELECT a.row_no, a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -1,10 +1,9 @@
-"""What several operators share: lineage cuts, the copy sketch, word and byte hashing."""
+"""What several operators share: lineage cuts, buckets, bitmaps of keys, joins with hot keys, a hash."""
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,74 +11,80 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bits of the copy sketch: at most SKETCH_BITS / 64 rows of 16 bytes are broadcast, whatever the input.
-SKETCH_BITS = 1 << 22
+#: Bits of a bitmap for each of its keys, and its bits at most: 2^20 rows of 16 bytes are broadcast then, whatever the input.
+KEY_BITS, MOST_BITS = 8, 1 << 26
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one of this machine only where none is named, as in tests."""
+    """The shared folder that the cluster names. Only on one machine, as in tests, may a temporary folder stand in for it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, such as those cut off by a checkpoint."""
-    for _ in range(4):  # each collection lets the cleaner drop what keeps the next objects
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def buckets(df: DataFrame) -> int:
+    """``df`` written to the shared checkpoint folder and read from there; the shuffle files of the plan are deleted once it is written."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def buckets(df: DataFrame, text: str = "text") -> int:
     """How many hash buckets messages are dealt to: it follows the cluster's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, key: str, n: int):
+    """``df`` by groups of the bucket number ``key``, in as many partitions as there are buckets."""
+    return df.repartition(n, key).groupBy(key)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(f"`{text}`"), F.lit(""))
 
 
-def sketch(keys: DataFrame, key: str, bits: int = SKETCH_BITS) -> DataFrame:
-    """A bitmap with the bit ``key mod bits`` set for each key, as rows (sk_word, sk_mask), at most bits/64 of them."""
-    slot = F.pmod(F.col(key), F.lit(bits))
-    return (
-        keys.select(F.floor(slot / 64).cast("long").alias("sk_word"), F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))").alias("sk_mask"))
-        .groupBy("sk_word")
-        .agg(F.bit_or("sk_mask").alias("sk_mask"))
-    )
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, name: str = "maybe", most: int = MOST_BITS) -> DataFrame:
+    """``df`` with the column ``name``: false only where ``key`` is surely not in the column ``key`` of ``keys``.
 
-
-def maybe_in(df: DataFrame, key: str, bitmap: DataFrame, name: str = "maybe", bits: int = SKETCH_BITS) -> DataFrame:
-    """``df`` with the column ``name``: false only where ``key`` is surely not among the sketched keys."""
-    return (
-        df.withColumn("sk_word", F.floor(F.pmod(F.col(key), F.lit(bits)) / 64).cast("long"))
-        .join(F.broadcast(bitmap), "sk_word", "left")
-        .withColumn(name, F.coalesce(F.expr(f"shiftright(sk_mask, cast(pmod({key}, 64) as int)) & 1L"), F.lit(0)) == 1)
-        .drop("sk_word", "sk_mask")
-    )
+    The keys are counted and make a bitmap of KEY_BITS bits each, which is broadcast; ``df`` is not moved. Too many keys for ``most`` bits are
+    joined instead, as groups whose hot ones are salted; then ``df`` is shuffled, and the column is exact.
+    """
+    bits = 1 << max(16, (KEY_BITS * keys.count() - 1).bit_length())
+    if bits > most:
+        known = keys.select(F.col(key).alias("known__")).distinct()
+        groups = df.groupBy(key).agg(F.count("*").alias("rows__")).join(known, F.col(key) == F.col("known__"), "left")
+        return join_groups(df, groups.select(key, "rows__", F.col("known__").isNotNull().alias(name)), key, "rows__").drop("rows__").withColumn(name, F.coalesce(name, F.lit(False)))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = keys.select(slot.alias("slot__")).select(F.shiftrightunsigned("slot__", 6).alias("word__"), F.expr("shiftleft(1L, cast(slot__ & 63 as int))").alias("mask__"))
+    bitmap = marks.groupBy("word__").agg(F.bit_or("mask__").alias("mask__"))
+    asked = df.withColumn("slot__", slot).join(F.broadcast(bitmap), F.shiftrightunsigned("slot__", 6) == F.col("word__"), "left")
+    return asked.withColumn(name, F.coalesce(F.expr("shiftrightunsigned(mask__, cast(slot__ & 63 as int)) & 1L"), F.lit(0)) == 1).drop("slot__", "word__", "mask__")
 
 
-#: Keys that hold a thousandth of all rows or more; there are a thousand at most, whatever the input.
-HOT = 1000
+#: Keys that hold one in so many of all rows are hot; there are as many at most, whatever the input. With many tasks there may be more.
+HOT, HOT_PER_TASK = 1000, 4
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` with the columns of their group. ``groups`` has one row for each key, ``n`` counts its rows.
 
-    Hot keys, HOT at most, are matched by broadcast, and their rows, which then match nothing else, are dealt at random; so no task gets more
-    than its share and a thousandth of the rows.
+    Hot keys are matched by broadcast, and their rows, which then match nothing else, are dealt at random; so no task gets more than its share
+    and a quarter more.
     """
     cols = [c for c in groups.columns if c != key]
+    most = max(HOT, HOT_PER_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = groups.agg(F.sum(n).alias("total__"))
-    hot = groups.crossJoin(F.broadcast(total)).filter(F.col(n) * HOT >= F.col("total__")).select(F.col(key).alias("hk__"), F.struct(*cols).alias("hot__"))
+    hot = groups.crossJoin(F.broadcast(total)).filter(F.col(n) * most >= F.col("total__")).select(F.col(key).alias("hk__"), F.struct(*cols).alias("hot__"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hk__"), "left")
     dealt = marked.withColumn("salt__", F.when(F.col("hk__").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) + 1))
     other = groups.select(F.col(key).alias("gk__"), F.least(F.col(n), F.lit(0)).cast("long").alias("gs__"), F.struct(*cols).alias("g__"))

@@ -1,7 +1,7 @@
 """Exact dedup, native: group by a 128-bit content hash, then compare bytes inside the groups.
 
-Only hashes and ids are shuffled for all rows. Texts move only for rows whose hash may be shared, which a bitmap of bounded
-size tells; there min and max of the texts of a group, pre-aggregated on the map side, are equal exactly when all its bytes are.
+Only hashes and ids are shuffled for all rows. Texts move only for rows whose hash may be shared, which a bitmap tells (of bounded size;
+with more shared hashes than it can tell apart, the texts move once); there min and max of the texts of a group, pre-aggregated on the map side, are equal exactly when all its bytes are.
 A group with two or more texts is a hash collision and is grouped anew by the text itself. So a group of any size costs
 one row a task, and the (hash, id) rows of a hot group, which a broadcast of bounded size matches, are dealt at random.
 
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import cut_lineage, join_groups, maybe_in, sketch, text_or_empty
+from corpuslens.llm.common import cut_lineage, join_groups, maybe_in, text_or_empty
 
 
 def content_hash(text: Column) -> Column:
@@ -31,8 +31,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     slim = rows.select("id", "h", F.unhex(F.sha2("t", 256)).alias("sha"))
     groups = cut_lineage(rows.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keep")))
 
-    copied = sketch(groups.filter("n > 1").select(F.xxhash64("h").alias("hk")), "hk")
-    suspects = maybe_in(rows.withColumn("hk", F.xxhash64("h")), "hk", copied).filter("maybe").select("id", "h", "t")
+    suspects = maybe_in(rows, "h", groups.filter("n > 1").select("h")).filter("maybe").select("id", "h", "t")
     collided = cut_lineage(suspects.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("h"))
     mixed = suspects.join(collided, "h", "left_semi")
     by_text = mixed.groupBy("h", "t").agg(F.count("*").alias("n"), F.max("id").alias("keep"))

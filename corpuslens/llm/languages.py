@@ -9,9 +9,10 @@ within the chosen set. Documents whose likelihood can't gain so much from any se
 How much of a document is in learned languages at all (``known``) is the proportion, by the same estimation, of its mixture against trigrams
 that are all equally likely: about 1 for learned languages, less for others by how near they are, about 0 for random letters.
 
-Counts cover every learned document; a model is (languages x BUCKETS) numbers, whatever the corpus. Documents are not cut.
+Counts cover every learned document; a model is (languages x BUCKETS) numbers, whatever the corpus: each distinct ``lang`` value is a language,
+and the driver holds 128 KB for each. Documents are not cut.
 
-Defined results: null or letterless text is ``und`` with score 0; a document without a learned language at hand (nothing to learn from) is
+Defined results: null text, and text without a letter (combining marks alone are none), is ``und`` with score 0; ids are read as bigint; a document without a learned language at hand (nothing to learn from) is
 ``und`` too; null and repeated ids are documents like any other; rows with null id or null lang teach nothing; an empty table gives no
 rows; other columns are not looked at.
 """
@@ -39,16 +40,20 @@ SLICE_CHARS, FEW = 1 << 19, 4
 
 
 @lru_cache(1)
-def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Which characters are letters, and which letters or marks, that go on a letter's word."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    return np.array([k == "L" for k in kinds]), np.array([k in "LM" for k in kinds])
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all texts, and the text of each. Runs of other characters count as one space; texts start and end with one."""
+    """Hashed trigrams of all texts that have a letter, and the text of each. Marks count as letters there; runs of other characters count as one
+    space; texts start and end with one."""
     lowered = [" " + t.lower() + " " for t in texts]
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in lowered])
-    letter = _letters()[points]
+    real, either = _letters()
+    letter = either[points] & (np.bincount(doc[real[points]], minlength=len(texts)) > 0)[doc]
     keep = letter.copy()
     if len(keep):
         keep[0] = True

@@ -1,16 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing, native.
 
 Each source shares the budget by its weight until it has been repeated ``repeats`` times; what it can't use is shared anew (water
-filling). A source's documents come in the order of a hash of their ids, once per pass. A copy's virtual finish time is the
+filling). A source's documents come in the order of a hash of their ids and texts, once per pass. A copy's virtual finish time is the
 source's cumulative words divided by the source's target, so that each source meets its target at time 1. The copies of all
 sources, in order of finish time, are cut where their words reach the budget.
 
 Neither the running sum of a source nor the global order is made in one task: a source is dealt to CHUNKS ranges of the hash, whose
-totals give the offsets, and the finish times fall into BINS ranges, of which only the one that holds the cut is sorted.
+totals give the offsets, and the finish times fall into BINS ranges; the one that holds the cut is parted in BINS again, and only the
+range of these that holds it is sorted. The hash is of id and text, so null and repeated ids are spread too.
 
 Defined results: null text has size 0 and is taken 0 words; null source is a source, last in order; documents are taken whole, 0 to
-``repeats`` times, so a source misses its target by less than one of its documents or so; rows that repeat an id count as
-documents; an empty table gives no rows; other columns are not looked at. One row per source must fit one task.
+``repeats`` times, so a source misses its target by less than one of its documents or so; rows that repeat an id count as documents, and
+those that repeat its text too stand in any order among themselves; an empty table gives no rows; other columns are not looked at. One row per source must fit one task.
 """
 
 from __future__ import annotations
@@ -24,17 +25,28 @@ from pyspark.sql import functions as F
 from corpuslens.llm.common import WORD, cut_lineage, text_or_empty
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-CHUNKS, BINS = 4096, 8192
+CHUNKS, BINS, LEVELS = 4096, 8192, 2
 
 
 def text_key() -> Column:
-    return F.xxhash64(text_or_empty())
+    return F.sha2(text_or_empty(), 256)
+
+
+def _bins(v: Column) -> list[Column]:
+    """The range of a finish time, the range within it, and so on: in order of the times."""
+    out, rest = [], v
+    for depth in range(LEVELS):
+        scaled = F.least(rest * BINS, F.lit(float(BINS << (1 - min(depth, 1)))))
+        out.append(F.floor(scaled).cast("long"))
+        rest = scaled - F.floor(scaled)
+    return out
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, keep_text_key: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken; and times, the whole copies taken; and text_key, if asked for."""
     also = ["text_key"] * keep_text_key
-    rows = docs.select("doc_id", "source", *(text_key().alias(x) for x in also), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")).withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_or_empty())
+    rows = docs.select("doc_id", "source", *(text_key().alias(x) for x in also), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.md5(name).alias("key"))
     rows = rows.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * CHUNKS / 65536).cast("int"))
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
 
@@ -68,25 +80,33 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
     copy = lambda p: F.struct(F.col(f"v{p}").alias("v"), "nth", "key", "doc_id", "size", F.lit(p).alias("pass"))
     copies = timed.filter("size > 0").select("budget", F.explode(F.array(*(copy(p) for p in range(repeats)))).alias("copy"))
-    copies = copies.withColumn("bin", F.least(F.floor(F.col("copy.v") * BINS), F.lit(2 * BINS)))
-    bins = copies.groupBy("bin").agg(F.sum("copy.size").alias("words"), F.max("budget").alias("budget"))
-    bins = bins.withColumn("end", F.sum("words").over(W.orderBy("bin")))
-    edge = bins.filter(F.col("end") > F.col("budget")).groupBy().agg(F.min(F.struct("bin", (F.col("end") - F.col("words")).alias("start"))).alias("e")).select("e.bin", "e.start")
-    at_edge = copies.join(F.broadcast(edge.filter("bin is not null").withColumnRenamed("bin", "edge_bin")), F.expr("bin = edge_bin"))
-    run = F.col("start") + F.sum("copy.size").over(W.orderBy("copy").rowsBetween(W.unboundedPreceding, 0))
-    cut = at_edge.withColumn("run", run).filter(F.col("run") <= F.col("budget")).groupBy().agg(F.max("copy").alias("last"))
-    told = timed.join(F.broadcast(edge.withColumnRenamed("bin", "edge_bin")), how="cross").join(F.broadcast(cut), how="cross")
+    copies = copies.withColumn("bins", F.array(*_bins(F.col("copy.v"))))
+    edge: list[int] = []
+    start = 0
+    for depth in range(LEVELS):  # the range that holds the cut, then the range within it
+        inside = copies.filter(F.slice("bins", 1, depth) == F.array(*map(F.lit, edge))) if edge else copies
+        sums = inside.groupBy(F.col("bins")[depth].alias("bin")).agg(F.sum("copy.size").alias("words"), F.max("budget").alias("budget"))
+        ends = sums.withColumn("end", F.lit(start) + F.sum("words").over(W.orderBy("bin")))
+        found = ends.filter(F.col("end") > F.col("budget")).orderBy("bin").select("bin", (F.col("end") - F.col("words")).alias("start")).first()
+        if found is None:  # the budget takes every copy
+            break
+        edge, start = [*edge, found["bin"]], found["start"]
+    at_edge = F.array(*map(F.lit, edge)).cast("array<bigint>")
+    run = F.lit(start) + F.sum("copy.size").over(W.orderBy("copy").rowsBetween(W.unboundedPreceding, 0))
+    cut = copies.filter(F.col("bins") == at_edge).withColumn("run", run).filter(F.col("run") <= F.col("budget")).groupBy().agg(F.max("copy").alias("last"))
+    told = timed.join(F.broadcast(cut), how="cross")
 
     def taken(p: int):
-        bin_ = F.least(F.floor(F.col(f"v{p}") * BINS), F.lit(2 * BINS))
-        return F.when(F.col("size") == 0, 0).when(F.col("edge_bin").isNull() | (bin_ < F.col("edge_bin")), 1).when((bin_ == F.col("edge_bin")) & (copy(p) <= F.col("last")), 1).otherwise(0)
+        bins = F.array(*_bins(F.col(f"v{p}")))
+        within = F.when(bins < at_edge, 1).when((bins == at_edge) & (copy(p) <= F.col("last")), 1).otherwise(0) if edge else F.lit(1)
+        return F.when(F.col("size") == 0, 0).otherwise(within)
 
     times = sum((taken(p) for p in range(1, repeats)), taken(0)).cast("long")
     return told.select("doc_id", *also, "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, CAST(source_size * 2 AS DOUBLE) AS most, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget FROM s0),
 s2 AS (SELECT *, budget - coalesce(sum(most) OVER (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,

@@ -4,14 +4,14 @@ Texts are sets of five-word shingles (a text of one to four words is one shingle
 of MinHash values meet; their signatures are compared a few values at a time, and a pair is dropped as soon as the posterior probability
 that its similarity reaches the threshold falls below TOLERANCE. The pairs left give candidate components (each node searches among
 those that none has reached, so a group of n near copies costs about n comparisons, not n squared, and yields n - 1 edges).
-Within a component every pair is verified exactly: shared shingles are counted by products of 0/1 matrices, block by block. No pair is
-ever a row. A pair at the threshold is missed with a probability below 1e-7 (32 bands of 4: 0.59 ** 32), pruning adds about TOLERANCE.
+Within a component every pair is verified by its shingles (64-bit hashes of five words, so a component with a million of them counts one
+wrongly with a probability of 3e-8): shared ones are counted by products of 0/1 matrices, block by block. No pair is ever a row. A pair at the threshold is missed with a probability below 1e-7 (32 bands of 4: 0.59 ** 32), pruning adds about TOLERANCE.
 
-Copies are merged before texts or signatures are shuffled, so they may be any number. A component of more than BLOCK texts is verified in
-pairs of blocks, each a group of its own. The signatures (136 bytes each) of different texts that agree in one band must fit a task.
+Copies, that is texts of one SHA-256, are merged before texts or signatures are shuffled, so they may be any number. A component of more
+than BLOCK texts or BLOCK_BYTES bytes is verified in pairs of blocks, each a group of its own. The signatures (136 bytes each) of different texts that agree in one band must fit a task.
 
 Defined results: null text and text without words have no shingles and no links, each a class of its copies; class_id and rep_id are the
-smallest ids, null if there is none; rows that repeat an id and its text are copies; an empty table gives no rows; other columns are not
+smallest ids, null if there is none; ids are read as bigint (one that can't be fails the job, as a cast does); rows that repeat an id and its text are copies; an empty table gives no rows; other columns are not
 looked at.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, join_groups, maybe_in, mix64, release, sketch, text_or_empty
+from corpuslens.llm.common import buckets, cut_lineage, dealt, join_groups, maybe_in, mix64, text_or_empty
 from corpuslens.llm.spans import PACKED, SLICE_BYTES, Words, bucket_of, counts, flat, lists, per_document, slices, text_buffers
 from corpuslens.llm.substring_dedup import MESSAGE, ask, live_keys
 
@@ -34,8 +34,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS, TOLERANCE = (16, 32, 64, HASHES), 1e-7
 MATRIX_ROWS = 1024
-#: Texts of a component that are verified together.
-BLOCK = 4096
+#: Texts of a component that are verified together, and their bytes.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 _FACTORS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -104,22 +104,23 @@ def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for batch in batches:
-        keys = batch.column("ck").to_numpy()
+        keys = batch.column("key").to_pylist()
         data, off = text_buffers(batch.column("t"))
         for i, j in slices(off):
-            doc, mins = signatures(*shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i])))
-            ck = keys[i + doc]
-            new = np.array([k not in seen for k in ck.tolist()], bool)
-            _, first = np.unique(ck, return_index=True)
-            at = first[new[first]]
-            seen.update(ck[at].tolist())
-            if len(seen) > 200_000:
+            fresh = {}
+            for k in range(i, j):
+                if keys[k] not in seen:
+                    fresh.setdefault(keys[k], k - i)
+            seen.update(fresh)
+            if len(seen) > 100_000:
                 seen.clear()
+            doc, mins = signatures(*shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i])))
+            at = np.flatnonzero(np.isin(doc, np.fromiter(fresh.values(), np.int64, len(fresh))))
             sig = (mix64(mins[at]) & np.uint64(255)).astype(np.uint8)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(mins[at]).view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(ck[at]), pa.array([x.tobytes() for x in sig], pa.binary()), bands], ["ck", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i + d] for d in doc[at].tolist()], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), bands], ["key", "sig", "bands"])
 
 
 def _ask_bands(n_buckets: int):
@@ -254,35 +255,35 @@ def _linked(grams: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None
 
 def _verify(table: pa.Table) -> pa.Table:
     """Exact links within each component, or between two blocks of one: ck, the first member it is connected with here, links found here."""
-    table = table.sort_by([("root", "ascending"), ("ck", "ascending")]).combine_chunks()
+    table = table.sort_by([("root", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("ck", "ascending")]).combine_chunks()
     data, off = text_buffers(table.column("t"))
     grams: list[np.ndarray] = []
     for i, j in slices(off, SLICE_BYTES):
         value, doc = shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i]))
         grams += np.split(value, np.searchsorted(doc, np.arange(1, j - i)))
-    root, copies, block = (table.column(c).to_numpy() for c in ("root", "copies", "block"))
-    apart = table.column("lo").to_numpy() != table.column("hi").to_numpy()
+    root, copies, block, low, high = (table.column(c).to_numpy() for c in ("root", "copies", "block", "lo", "hi"))
     ck, links = table.column("ck").to_numpy(), np.zeros(table.num_rows, np.int64)
     group = ck.copy()
-    head = np.flatnonzero(np.r_[True, root[1:] != root[:-1]]) if len(root) else []
+    head = np.flatnonzero(np.r_[True, (root[1:] != root[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(root) else []
     for lo, hi in zip(head, [*head[1:], len(root)], strict=True):
-        side = (block[lo:hi] == table.column("hi").to_numpy()[lo:hi]).astype(np.int8) if apart[lo] else None
+        side = (block[lo:hi] == high[lo]).astype(np.int8) if low[lo] != high[lo] else None
         parent, links[lo:hi] = _linked(grams[lo:hi], copies[lo:hi], side)
         group[lo:hi] = ck[lo + parent]
     return pa.table({"ck": pa.array(ck), "grp": pa.array(group), "links": pa.array(links), "split": table.column("split")})
 
 
-def verified(members: DataFrame, n: int, block: int) -> DataFrame:
-    """ck, grp, links of the members (root, ck, copies, t) of candidate components. A component of more than ``block`` texts is dealt to pairs of
-    blocks, each a task's group; their links are added, and what they connect is connected by components of a spanning forest."""
-    size = members.groupBy("root").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.join(size, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def verified(members: DataFrame, n: int, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """ck, grp, links of the members (root, ck, copies, t) of candidate components. A component of more than ``block`` texts or ``block_bytes``
+    bytes is dealt to pairs of blocks, each a task's group; their links are added, and what they connect is connected by components of a
+    spanning forest. Smaller components of a bucket are worked on together."""
+    size = members.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.octet_length("t")).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+    split = members.join(size, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
+    pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    bucket = F.pmod(F.xxhash64("root", lo, hi), F.lit(n)).cast("int")
-    asked = pairs.select(bucket.alias("bucket"), "root", lo.alias("lo"), hi.alias("hi"), (F.col("blocks") > 1).alias("split"), "block", "ck", "copies", "t")
-    told = cut_lineage(asked.groupBy("bucket", "lo", "hi").applyInArrow(_verify, "ck bigint, grp bigint, links bigint, split boolean"))
+    group = F.when(F.col("blocks") > 1, F.xxhash64("root", lo, hi)).otherwise(F.pmod(F.xxhash64("root"), F.lit(n)))
+    asked = pairs.select(group.alias("bucket"), "root", lo.alias("lo"), hi.alias("hi"), (F.col("blocks") > 1).alias("split"), "block", "ck", "copies", "t")
+    told = cut_lineage(dealt(asked, "bucket", n).applyInArrow(_verify, "ck bigint, grp bigint, links bigint, split boolean"))
     whole = told.filter("not split").select("ck", "grp", "links")
     parts = told.filter("split")
     joined = components(parts.select(F.col("ck").alias("a"), F.col("grp").alias("b")))
@@ -290,56 +291,34 @@ def verified(members: DataFrame, n: int, block: int) -> DataFrame:
     return whole.union(added.select("ck", F.coalesce("root", "ck").alias("grp"), "links"))
 
 
-def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, rep_id (smallest id of its copies), class_id (smallest id of its near-duplicate class), n_links (other
-    documents whose similarity is at the threshold or more, copies counted), text_key (64 bits of the text), class_key (that of class_id)."""
+    documents whose similarity is at the threshold or more, copies counted), text_key (SHA-256 of the text), class_key (that of class_id)."""
     n = buckets(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("t")).withColumn("ck", F.xxhash64(F.unhex(F.md5(F.encode("t", "UTF-8")))))
-    nodes = rows.groupBy("ck").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    signed = cut_lineage(rows.select("ck", "t").mapInArrow(_sign, "ck bigint, sig binary, bands array<bigint>").dropDuplicates(["ck"]))
-    live = signed.select("ck", "bands").mapInArrow(_ask_bands(n), MESSAGE).groupBy("bucket").applyInArrow(live_keys(n), PACKED)
-    live = per_document(live, "keys")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("t")).withColumn("key", F.unhex(F.sha2("t", 256)))
+    texts = cut_lineage(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    # a text's number, by which messages name it, is its place in a written table
+    signed = cut_lineage(rows.select("key", "t").mapInArrow(_sign, "key binary, sig binary, bands array<bigint>").dropDuplicates(["key"])).withColumn("ck", F.monotonically_increasing_id())
+    live = per_document(dealt(signed.select("ck", "bands").mapInArrow(_ask_bands(n), MESSAGE), "bucket", n).applyInArrow(live_keys(n), PACKED), "keys", n)
     met = signed.select("ck", "sig").join(live, F.col("ck") == F.col("did")).select("ck", "sig", "keys").mapInArrow(_meet(n), GROUPS)
-    found = cut_lineage(components(met.groupBy("bucket").applyInArrow(_edges, EDGES)))
-    del live, met
-    release(docs.sparkSession)
-
-    texts = maybe_in(rows.select("ck", "t"), "ck", sketch(found, "node")).filter("maybe").groupBy("ck").agg(F.first("t").alias("t"))
-    members = texts.join(found, F.col("ck") == F.col("node")).join(nodes.select(F.col("ck").alias("node"), "copies"), "node")
-    told = cut_lineage(verified(members.select("root", "ck", "copies", "t"), n, block))
-    linked = told.join(nodes, "ck")
-    first = F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "ck"))
+    found = components(dealt(met, "bucket", n).applyInArrow(_edges, EDGES))
+    nodes = cut_lineage(signed.select("key", "ck").join(found, F.col("ck") == F.col("node")).join(texts, "key").select("key", "ck", "root", "copies"))
+
+    doubtful = maybe_in(rows.select("key", "t"), "key", nodes.select("key")).filter("maybe")
+    members = doubtful.groupBy("key").agg(F.first("t").alias("t")).join(nodes, "key")
+    told = cut_lineage(verified(members.select("root", "ck", "copies", "t"), n, block, block_bytes))
+    linked = told.join(nodes.select("ck", "key"), "ck").join(texts, "key")
+    first = F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "key"))
     least = linked.groupBy("grp").agg(first.alias("least"))
-    by_text = cut_lineage(nodes.join(linked.join(least, "grp").select("ck", "least", "links"), "ck", "left").join(_wordless(rows), "ck", "left"))
+    by_text = cut_lineage(texts.join(linked.join(least, "grp").select("key", "least", "links"), "key", "left").join(_wordless(rows), "key", "left"))
     links = F.when(F.col("none"), 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     return (
-        join_groups(rows.select("id", "ck"), by_text, "ck", "copies")
+        join_groups(rows.select("id", "key"), by_text, "key", "copies")
         .withColumn("none", F.coalesce("none", F.lit(False)))
-        .withColumn("least", F.coalesce("least", F.struct(F.col("rep").isNull().alias("null"), "rep", "ck")))
-        .select(F.col("id").alias("doc_id"), F.col("rep").alias("rep_id"), F.col("least.rep").alias("class_id"), links.alias("n_links"), F.col("ck").alias("text_key"), F.col("least.ck").alias("class_key"))
+        .withColumn("least", F.coalesce("least", F.struct(F.col("rep").isNull().alias("null"), "rep", "key")))
+        .select(F.col("id").alias("doc_id"), F.col("rep").alias("rep_id"), F.col("least.rep").alias("class_id"), links.alias("n_links"), F.col("key").alias("text_key"), F.col("least.key").alias("class_key"))
     )
 
 
 def _wordless(rows: DataFrame) -> DataFrame:
-    return rows.filter(~F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("ck").distinct().withColumn("none", F.lit(True))
-
-
-def brute(texts: dict[int, str | None]) -> dict[int, tuple[int, int, int]]:
-    """The definition, for tests: id -> (rep_id, class_id, n_links)."""
-    sets = {}
-    for i, t in texts.items():
-        w = (t or "").encode().split()
-        sets[i] = frozenset(tuple(w[k : k + N]) for k in range(max(1, len(w) - N + 1))) if w else frozenset()
-    near = {i: [j for j in texts if j != i and sets[i] and len(sets[i] & sets[j]) * DENOMINATOR >= NUMERATOR * len(sets[i] | sets[j])] for i in texts}
-    root = {}
-    for i in sorted(texts):
-        todo = [i] if i not in root else []
-        while todo:
-            k = todo.pop()
-            if k not in root:
-                root[k] = i
-                todo += near[k]
-    rep = {}
-    for i in sorted(texts):
-        rep.setdefault(texts[i] or "", i)
-    return {i: (rep[texts[i] or ""], root[i] if sets[i] else rep[texts[i] or ""], len(near[i])) for i in texts}
+    return rows.filter(~F.col("t").rlike(r"[^\x20\x09-\x0D]")).select("key").distinct().withColumn("none", F.lit(True))

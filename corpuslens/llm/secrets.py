@@ -1,27 +1,27 @@
 """Secret scans with an incremental blob ledger.
 
-Every text is content-addressed by SHA-256; a blob that many paths (documents, or versions of one) hold is scanned once. The ledger holds
-one row for each (blob, rule, rule version) already scanned, with its spans; a run scans only the pairs that it lacks, and findings are
-joined back to all paths of a blob. A blob that surely has no second path (a bitmap of bounded size tells) is scanned where it lies;
-only texts of blobs that may have copies are shuffled, after one of each has been kept per task.
+Every text is content-addressed by SHA-256; a blob that many paths (documents, or versions of one) hold is scanned once. The ledger, a table
+in Parquet, holds one row for each (blob, rule, rule version) scanned, with its spans, or none; a run scans only the pairs that it lacks,
+adds them, and joins the findings of the rules' present versions, old and new, to all paths of a blob. A blob that surely has no second path
+(a bitmap of bounded size tells) is scanned where it lies; only texts of blobs that may have copies are shuffled, after one of each
+has been kept per task. Against a ledger with rows the texts that it may lack are joined with it by blob.
 
 Spans are code points of the whole match, end exclusive. Besides the base kinds there is ``pem``, the header line of a private key.
-Defined results: null text is empty; null and repeated ids are paths like any other; an empty table gives no rows; other columns are not
-looked at.
+Defined results: null text is empty; null and repeated ids are paths like any other; a pair that two ledger rows hold counts once; kinds
+that the rules don't name are no findings; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import maybe_in, sketch, text_or_empty
+from corpuslens.llm.common import cut_lineage, join_groups, maybe_in, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -57,55 +57,69 @@ def find(text: str, rule: Rule, compiled: re.Pattern[str]) -> list[tuple[int, in
     return [m.span() for m in compiled.finditer(text) if len(m[rule.group]) >= rule.least]
 
 
+LEDGER = "blob binary, kind string, version int, starts array<int>, ends array<int>"
+
+
 def _scanner(rules: Mapping[str, Rule]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = {kind: re.compile(r.pattern) for kind, r in rules.items()}
         for batch in batches:
             rows = []
-            for blob, text, todo in zip(batch["blob"], batch["t"], batch["todo"], strict=True):
+            for blob, text, todo in zip(*(batch.column(c).to_pylist() for c in ("blob", "t", "todo")), strict=True):
                 for kind in todo:
                     spans = find(text, rules[kind], compiled[kind])
-                    if spans:
-                        rows.append((blob, kind, rules[kind].version, [s for s, _ in spans], [e for _, e in spans]))
-            yield pd.DataFrame(rows, columns=["blob", "kind", "version", "starts", "ends"])
+                    rows.append((blob, kind, rules[kind].version, [s for s, _ in spans], [e for _, e in spans]))
+            types = (pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["blob", "kind", "version", "starts", "ends"])
 
     return run
 
 
-LEDGER = "blob binary, kind string, version int, starts array<int>, ends array<int>"
+def _blob() -> Column:
+    return F.unhex(F.sha2(text_or_empty(), 256)).alias("blob")
+
+
+def _current(ledger: DataFrame, rules: Mapping[str, Rule]) -> DataFrame:
+    """Ledger rows of the rules' present versions."""
+    return ledger.filter(" or ".join(f"(kind = '{kind}' and version = {r.version})" for kind, r in rules.items()))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Mapping[str, Rule] = RULES) -> DataFrame:
-    """New ledger rows: for each (blob, kind, version) not in ``ledger`` (blob, kind, version) that has findings, their starts and ends."""
-    blobs = docs.select(text_or_empty().alias("t")).withColumn("blob", F.unhex(F.sha2("t", 256)))
-    copied = blobs.groupBy("blob").count().filter("count > 1").select(F.xxhash64("blob").alias("bk"))
-    flagged = maybe_in(blobs.withColumn("bk", F.xxhash64("blob")), "bk", sketch(copied, "bk"))
+    """New ledger rows: for each (blob, kind, version) not in ``ledger``, the starts and ends of its findings, if any."""
+    blobs = docs.select(_blob(), text_or_empty().alias("t"))
+    copied = cut_lineage(blobs.groupBy("blob").count().filter("count > 1").select("blob"))
+    flagged = maybe_in(blobs, "blob", copied)
     once = flagged.filter(~F.col("maybe")).select("blob", "t").union(flagged.filter("maybe").groupBy("blob").agg(F.first("t").alias("t")))
     every = F.array(*(F.lit(kind) for kind in rules))
     if ledger is None:
         todo = once.withColumn("todo", every)
     else:
-        current = ledger.filter(" or ".join(f"(kind = '{kind}' and version = {r.version})" for kind, r in rules.items()))
-        seen = current.groupBy("blob").agg(F.collect_set("kind").alias("seen"))
+        seen = _current(ledger, rules).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
         todo = once.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter("size(todo) > 0")
-    return todo.select("blob", "t", "todo").mapInPandas(_scanner(rules), LEDGER)
-
-
-def ledger_rows(docs: DataFrame, rules: Mapping[str, Rule] = RULES) -> DataFrame:
-    """What a scan of ``docs`` under ``rules`` adds to a ledger of scanned pairs: (blob, kind, version)."""
-    versions = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(r.version).alias("version")) for kind, r in rules.items()))
-    return docs.select(F.unhex(F.sha2(text_or_empty(), 256)).alias("blob")).distinct().select("blob", F.inline(versions))
-
-
-def findings(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row per path: doc_id, and spans, an array of (start, rank of the kind, end, kind) in order."""
-    rank = F.array_position(F.array(*(F.lit(kind) for kind in RULES)), F.col("kind")).cast("int")
-    span = F.zip_with("starts", "ends", lambda s, e: F.struct(s.alias("start"), F.lit(0).alias("rank"), e.alias("end"), F.lit("").alias("kind")))
-    spans = found.withColumn("rank", rank).withColumn("spans", F.transform(span, lambda x: F.struct(x["start"].alias("start"), F.col("rank").alias("rank"), x["end"].alias("end"), F.col("kind").alias("kind"))))
-    per_blob = spans.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    paths = docs.select("doc_id", F.unhex(F.sha2(text_or_empty(), 256)).alias("blob"))
+    return todo.select("blob", "t", "todo").mapInArrow(_scanner(rules), LEDGER)
+
+
+def update(docs: DataFrame, path: str, rules: Mapping[str, Rule] = RULES) -> DataFrame:
+    """The ledger at ``path``, a folder that all executors share, after a scan of what it lacked. The folder is made if there is none."""
+    spark = docs.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    known = spark.read.schema(LEDGER).parquet(path) if there else None
+    scan(docs, known, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: Mapping[str, Rule] = RULES) -> DataFrame:
+    """One row per path: doc_id, and spans, an array of (start, rank of the kind, end, kind) in order, by the rules' present versions."""
+    rank = F.array_position(F.array(*(F.lit(kind) for kind in rules)), F.col("kind")).cast("int")
+    spans = _current(ledger, rules).filter("size(starts) > 0").select("blob", "kind", rank.alias("rank"), F.explode(F.arrays_zip("starts", "ends")).alias("s"))
+    span = F.struct(F.col("s.starts").alias("start"), "rank", F.col("s.ends").alias("end"), "kind")
+    per_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    paths = docs.select("doc_id", _blob())
+    groups = paths.groupBy("blob").agg(F.count("*").alias("n")).join(per_blob, "blob", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return paths.join(per_blob, "blob", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    return join_groups(paths, groups, "blob", "n").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def digest(paths: DataFrame) -> DataFrame:
@@ -115,13 +129,22 @@ def digest(paths: DataFrame) -> DataFrame:
     return paths.select("doc_id", *(count(kind) for kind in BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
-def brute(text: str | None) -> tuple[int, int, int, str]:
-    """The contract read literally, for tests: counts and digest of the base kinds of one text."""
-    t, spans = text or "", []
-    for k, kind in enumerate(BASE):
-        pattern = RULES[kind].pattern.replace("{24,}", "+")
-        for m in re.finditer(pattern, t):
-            if len(m[RULES[kind].group]) >= RULES[kind].least:
-                spans.append((m.start(), k, m.end()))
-    text_ = ",".join(f"{BASE[k]}:{s}:{e}" for s, k, e in sorted(spans))
-    return (*(sum(x[1] == k for x in spans) for k in range(3)), hashlib.sha256(text_.encode()).hexdigest())
+def _sql_kind(kind: str, rank: int) -> str:
+    """The spans of a kind in SQL: where the parts between matches and the matches before it end."""
+    rule = RULES[kind]
+    pattern = rule.pattern.replace("'", "''")
+    return f"""SELECT text_key, '{kind}' AS kind, {rank} AS rank, start, start + len(whole) AS "end" FROM (
+  SELECT text_key, whole, part, CAST(list_sum([len(x) FOR x IN parts[1:i]]) + coalesce(list_sum([len(x) FOR x IN wholes[1:i - 1]]), 0) AS BIGINT) AS start FROM (
+    SELECT text_key, unnest(wholes) AS whole, unnest(groups) AS part, unnest(range(1, len(wholes) + 1)) AS i, wholes, parts FROM (
+      SELECT text_key, regexp_extract_all(t, '{pattern}') AS wholes, regexp_extract_all(t, '{pattern}', {rule.group}) AS groups, string_split_regex(t, '{pattern}') AS parts FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE len(part) >= {rule.least}"""
+
+
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+d AS (SELECT DISTINCT t AS text_key, t FROM docs),
+s AS ({" UNION ALL ".join(_sql_kind(kind, k) for k, kind in enumerate(RULES, 1))}),
+g AS (SELECT text_key, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) FILTER (kind <> 'pem') AS base, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM s GROUP BY text_key)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN g ON t = text_key
+"""

@@ -13,10 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpuslens.llm.common import mix64
+from corpuslens.llm.common import dealt, mix64
 
-#: Null ids travel as this one, which is not a valid id.
-NO_ID = -(1 << 63)
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
@@ -142,9 +140,9 @@ def unpack(table: pa.Table) -> pa.Table:
     return pa.table({"did": pa.array(ids, pa.int64()), "vals": values})
 
 
-def per_document(packed: DataFrame, name: str) -> DataFrame:
-    """did, and the list of all its values as ``name``."""
-    return packed.groupBy("dest").applyInArrow(unpack, "did bigint, vals array<bigint>").withColumnRenamed("vals", name)
+def per_document(packed: DataFrame, name: str, n: int) -> DataFrame:
+    """did, and the list of all its values as ``name``; ``n`` is the number of buckets that documents fall into."""
+    return dealt(packed, "dest", n).applyInArrow(unpack, "did bigint, vals array<bigint>").withColumnRenamed("vals", name)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,32 +1,41 @@
-"""The operators as filters and maps of a table of documents, for pipelines. Other columns pass through.
+"""The operators as filters and maps of a table of documents, for pipelines. Other columns pass through, whatever their names.
 
-Decisions are keyed by 64 bits of id and text, so documents whose ids are null or repeated are told apart by their texts.
+A document is known by its id and the SHA-256 of its text, so documents whose ids are null or repeated are told apart by their texts.
 A filtering stage moves only the texts of rows that a bitmap of bounded size calls doubtful; all others stay where they are.
+
+Defined results: null text counts as empty; ids are read as bigint; rows that repeat an id and its text are copies, of which the two dedup
+stages keep one and the mix takes each as often; an empty table gives an empty one; the columns of a filtering stage are those of its input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import exact_dedup, languages, mixing, near, pieces
-from corpuslens.llm.common import maybe_in, sketch, text_or_empty
+from corpuslens.llm.common import cut_lineage, join_groups, maybe_in, text_or_empty
 
 #: A document is rejected if no language has so great a share of it, or all learned languages together don't explain so much.
 LEAST_SHARE, LEAST_KNOWN = 0.2, 0.5
 
 
-def _keyed(docs: DataFrame, text_key) -> DataFrame:
-    return docs.withColumn("row_key__", F.xxhash64(F.col("doc_id").cast("long"), text_key))
+def _name(doc_id: str, sha: str | Column) -> Column:
+    """The name of a document, from its id and the hexadecimal SHA-256 of its text."""
+    return F.concat_ws(":", sha, F.col(doc_id).cast("long").cast("string"))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """name, and the row as it came."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.sha2(text_or_empty(), 256).alias("sha")).select(_name("id", "sha").alias("name"), "row")
 
 
-def _keep(keyed: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``keyed`` whose decision (row_key__, kept) is true, one for each key."""
-    doubtful = decisions.groupBy("row_key__").agg(F.max("kept").alias("kept__"), F.count("*").alias("n__")).filter("not kept__ or n__ > 1").drop("n__")
-    flagged = maybe_in(keyed, "row_key__", sketch(doubtful, "row_key__"), "maybe__")
-    clear = flagged.filter(~F.col("maybe__"))
-    rest = flagged.filter("maybe__").join(doubtful, "row_key__", "left").filter("coalesce(kept__, true)").drop("kept__").dropDuplicates(["row_key__"])
-    return clear.unionByName(rest).drop("row_key__", "maybe__")
+def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose decision (name, kept) is true, one for each name."""
+    doubtful = cut_lineage(decisions.groupBy("name").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1").select("name", "kept"))
+    flagged = maybe_in(_named(docs), "name", doubtful.select("name"))
+    once = flagged.filter("maybe").groupBy("name").agg(F.first("row").alias("row"))
+    rest = once.join(doubtful, "name", "left").filter("coalesce(kept, true)")
+    return flagged.filter("not maybe").select("row.*").unionByName(rest.select("row.*"))
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -35,28 +44,28 @@ def identified(docs: DataFrame) -> DataFrame:
     Rejected are texts without letters, letter junk, texts in languages that are not near a learned one, and mixtures of so many that none has a share.
     """
     model = languages.learn(docs)
-    told = docs.withColumn("told__", languages.told(model)("text"))
-    return told.filter((F.col("told__.lang_pred") != languages.UNKNOWN) & (F.col("told__.known") >= LEAST_KNOWN) & (F.col("told__.score") * F.col("told__.known") >= LEAST_SHARE)).drop("told__")
+    told = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), languages.told(model)("text").alias("told"))
+    spoken = (F.col("told.lang_pred") != languages.UNKNOWN) & (F.col("told.known") >= LEAST_KNOWN) & (F.col("told.score") * F.col("told.known") >= LEAST_SHARE)
+    return told.filter(spoken).select("row.*")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """One document of each exact text."""
-    classes = exact_dedup.exact_classes(docs).select(F.xxhash64("doc_id", "text_sha256").alias("row_key__"), "kept")
-    return _keep(_keyed(docs, F.sha2(text_or_empty(), 256)), classes)
+    return _keep(docs, exact_dedup.exact_classes(docs).select(_name("doc_id", "text_sha256").alias("name"), "kept"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate class, that with the smallest id."""
-    key = lambda text: F.xxhash64(F.unhex(F.md5(F.encode(text, "UTF-8"))))
-    classes = near.classes(docs).select(F.xxhash64("doc_id", "text_key").alias("row_key__"), ((F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-    return _keep(_keyed(docs, key(text_or_empty())), classes)
+    first = (F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return _keep(docs, near.classes(docs).select(_name("doc_id", F.lower(F.hex("text_key"))).alias("name"), first.alias("kept")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents as often as the mix takes them."""
-    times = mixing.mix(docs, keep_text_key=True).groupBy("doc_id", "text_key").agg(F.max("times").alias("times__")).select(F.xxhash64("doc_id", "text_key").alias("row_key__"), "times__")
-    keyed = _keyed(docs, mixing.text_key()).join(times.filter("times__ > 0"), "row_key__")
-    return keyed.withColumn("pass__", F.explode(F.sequence(F.lit(1), F.col("times__").cast("int")))).drop("row_key__", "times__", "pass__")
+    told = mixing.mix(docs, keep_text_key=True).select(_name("doc_id", "text_key").alias("name"), "times")
+    times = cut_lineage(told.groupBy("name").agg(F.max("times").alias("times"), F.count("*").alias("n")))
+    taken = join_groups(_named(docs), times, "name", "n").filter("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("pass")).select("row.*")
 
 
 def tokenised(docs: DataFrame, model: str) -> DataFrame:

@@ -5,7 +5,7 @@ documents, one is at a cover place (0, 1 or 3 modulo 7) of both; a run of 7 word
 only the 7-word runs at its cover places, 3 of 7. Runs seen in two documents or more are live; each document extends its live runs to
 the windows of 13 words that hold one, and these, few, are compared exactly (96 bits) for the smallest document they start in.
 
-Defined results: null text has no words; a document with null id keeps all words and takes none from others; rows that repeat an id take
+Defined results: null text has no words; ids are read as bigint (one that can't be fails the job, as a cast does); a document with null id keeps all words and takes none from others; rows that repeat an id take
 nothing from each other; an empty table gives no rows; other columns are not looked at.
 """
 
@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, maybe_in, release, sketch, text_or_empty
-from corpuslens.llm.spans import NO_ID, PACKED, Words, bucket_of, counts, flat, lists, pack, per_document, slices, spread, tagged, text_buffers
+from corpuslens.llm.common import buckets, cut_lineage, dealt, maybe_in, text_or_empty
+from corpuslens.llm.spans import PACKED, Words, bucket_of, counts, flat, lists, pack, per_document, slices, spread, tagged, text_buffers
 
 #: A perfect difference set: each shift modulo PERIOD is a difference of two of its places.
 PERIOD, COVER = 7, (0, 1, 3)
@@ -72,10 +72,8 @@ def _send_anchors(n_buckets: int, length: int):
             ids = batch.column("did").to_numpy(zero_copy_only=False)
             for i, _, _, words in _slices_of(batch):
                 at, k = _anchors(words, length)
-                d = ids[i + words.doc[at]]
-                k, d = k[d != NO_ID], d[d != NO_ID]
                 keys.append(k)
-                docs.append(d)
+                docs.append(ids[i + words.doc[at]])
                 held += len(k)
                 if held >= FLUSH:
                     yield from ask(keys, docs, n_buckets)
@@ -204,20 +202,20 @@ def _cut(window: int, with_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256; and kept_text if asked for. ``window`` is at least PERIOD."""
     length, n = window - PERIOD + 1, buckets(docs)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text_or_empty().alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("did"), text_or_empty().alias("t"))
 
     def answers(sent: DataFrame, rule) -> DataFrame:
-        return per_document(sent.groupBy("bucket").applyInArrow(rule, PACKED), "keys")
+        return per_document(dealt(sent, "bucket", n).applyInArrow(rule, PACKED), "keys", n)
 
-    live = cut_lineage(answers(rows.mapInArrow(_send_anchors(n, length), MESSAGE), live_keys(n)))
-    release(docs.sparkSession)
+    live = cut_lineage(answers(rows.filter("did is not null").mapInArrow(_send_anchors(n, length), MESSAGE), live_keys(n)))
     # texts without live anchors are not moved
-    flagged = maybe_in(rows, "did", sketch(live, "did"))
-    some, others = flagged.filter("maybe").drop("maybe"), flagged.filter(~F.col("maybe")).drop("maybe")
+    flagged = maybe_in(rows, "did", live.select("did"))
+    doubtful = F.col("maybe") & F.col("did").isNotNull()
+    some, others = flagged.filter(doubtful).drop("maybe"), flagged.filter(~doubtful).drop("maybe")
     gone = answers(some.join(live, "did").mapInArrow(_send_windows(n, window, length), MESSAGE), later_keys(n))
     told = some.join(gone, "did", "left").unionByName(others.withColumn("keys", F.lit(None).cast("array<bigint>")))
     kept = told.mapInArrow(_cut(window, with_text), "did bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
-    return kept.withColumn("did", F.when(F.col("did") != NO_ID, F.col("did"))).withColumnRenamed("did", "doc_id")
+    return kept.withColumnRenamed("did", "doc_id")
 
 
 ORACLE = r"""

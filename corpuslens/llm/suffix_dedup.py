@@ -2,11 +2,17 @@
 
 A sparse suffix array stands for the full one. Of any GAP starts in a row the one with the least hash of its 16 bytes is sampled,
 which depends on bytes alone, so two equal strings of 200 bytes share a sampled suffix within GAP bytes from their start, followed by
-KEY more equal bytes. Sampled suffixes whose KEY bytes occur once are dropped by their hashes. Those whose whole context (GAP-1 bytes
-before, 200 after) occurs twice settle all their strings at once. Of the rest, one for each distinct context is sent on: splitters
-sampled from the corpus range-partition the suffixes by their leading bytes, and a bucket sorts its suffixes by multikey quicksort, eight
-bytes at a time. A splitter is a prefix, so suffixes with equal KEY bytes never stand on two sides of a boundary and there is nothing
-left to compare across it. Runs of equal KEY bytes are then compared string by string, for each place of the suffix in the string.
+KEY more equal bytes. Sampled suffixes whose KEY bytes occur once, as a hash of them shows, are left out; this is all that hashes decide.
+
+The others are sent with their context (GAP-1 bytes before, 200 after). A context that a batch has twice, by its bytes, settles all strings in
+it there and is sent once, without its places, so a hot passage costs a row for each batch. Splitters sampled from these
+suffixes range-partition them by their leading bytes, and a bucket sorts its suffixes by multikey quicksort on words of eight bytes. A
+splitter is a prefix, so suffixes with equal KEY bytes never stand on two sides of a boundary and there is nothing left to compare
+across it. In a run of equal KEY bytes the string that starts k bytes before a suffix has k bytes on its left and 200-k on its right. Runs
+are parted into classes of equal left sides and of equal right sides, a byte at a time, and a string starts elsewhere exactly if
+another suffix, or a copy of its context, is in both of its classes.
+
+Rows are named by 64 bits of id and text; among n documents some n*n / 2^65 pairs share a name, and such a pair may lose bytes wrongly.
 
 Defined results: null text is empty; null and repeated ids are separate documents (a repeated row repeats its strings); an empty table
 gives no rows; other columns are not looked at. Removed bytes may end inside a character.
@@ -23,17 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, maybe_in, mix64, release, sketch, text_or_empty
-from corpuslens.llm.spans import _TABLE, PACKED, bucket_of, counts, flat, lists, pack, per_document, powers, prefix_hash, runs, slices, text_buffers
+from corpuslens.llm.common import buckets, cut_lineage, dealt, maybe_in, mix64, text_or_empty
+from corpuslens.llm.spans import PACKED, bucket_of, counts, flat, lists, pack, per_document, powers, prefix_hash, runs, slices, text_buffers
 
 LENGTH, GAP, GRAM = 200, 104, 16
 KEY = LENGTH - GAP
-#: Bytes of a suffix that splitters look at, and how many of them are sampled for each bucket.
-LEAD, SAMPLES = 24, 16
+#: Bytes of a suffix that splitters look at, and how many suffixes are sampled for each bucket.
+LEAD, SAMPLES = 24, 8
 FLUSH = 1 << 20
-ASK, TOLD = 0, 1
-FULL, SHIP = 1, 2
-MESSAGE = "bucket int, kind int, keys array<bigint>, ctxs array<bigint>, rids array<bigint>, ats array<bigint>"
+ASK, SEEN, TOLD = 0, 1, 2
+MESSAGE = "bucket int, kind int, keys array<bigint>, rids array<bigint>, ats array<bigint>"
+SUFFIX = "part int, ctx binary, n_left int, copies int, rids array<bigint>, vals array<bigint>"
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -59,40 +65,27 @@ def sampled(data: np.ndarray, off: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return np.flatnonzero(gram[: len(reach)] == reach[: len(gram)])
 
 
-class Sample:
-    """Sampled suffixes of a slice: places, document numbers, bytes at hand before and after, hashes of key and of whole context."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        sums, inverse = prefix_hash(data), powers(len(data) + 1)[1]
-        at = sampled(data, off, sums)
-        self.doc = np.searchsorted(off, at, "right") - 1
-        self.at = at - off[self.doc]
-        self.left = np.minimum(self.at, GAP - 1)
-        self.right = np.minimum(off[self.doc + 1] - at, LENGTH)
-        self.key = mix64((sums[at + KEY] - sums[at]) * inverse[at])
-        begin = at - self.left
-        whole = (sums[at + self.right] - sums[begin]) * inverse[begin]
-        self.ctx = mix64(whole + (self.left * 1024 + self.right).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def _send(n_buckets: int):
-    def message(kind, bucket, keys, ctxs, rids, ats):
-        heads, columns = lists(bucket, keys.view(np.int64), ctxs.view(np.int64), rids, ats)
-        return pa.RecordBatch.from_arrays([pa.array(heads.astype(np.int32)), pa.array(np.full(len(heads), kind, np.int32)), *columns], ["bucket", "kind", "keys", "ctxs", "rids", "ats"])
+    """Asks which sampled suffixes have KEY bytes that occur elsewhere too. Those that occur twice in a batch need no asking."""
+
+    def message(kind, bucket, keys, rids, ats):
+        heads, columns = lists(bucket, keys.view(np.int64), rids, ats)
+        return pa.RecordBatch.from_arrays([pa.array(heads.astype(np.int32)), pa.array(np.full(len(heads), kind, np.int32)), *columns], ["bucket", "kind", "keys", "rids", "ats"])
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        k, c, r, a = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((a, r, c, k))
-        k, c, r, a = k[order], c[order], r[order], a[order]
-        head = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+        k, r, a = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((a, r, k))
+        k, r, a = k[order], r[order], a[order]
+        head = np.r_[True, k[1:] != k[:-1]]
         first = np.flatnonzero(head)
         size = np.diff(np.r_[first, len(k)])
-        # one question for each context; the lowest bit says that it has been seen twice here
-        yield message(ASK, bucket_of(k[first], n_buckets), k[first], c[first], r[first], a[first] * 2 + (size > 1))
-        rest = ~head
-        if rest.any():
-            nil = np.zeros(int(rest.sum()), np.uint64)
-            yield message(TOLD, bucket_of(r[rest], n_buckets), nil, nil, r[rest], a[rest] * 4 + FULL)
+        twice = np.repeat(size > 1, size)
+        yield message(ASK, bucket_of(k[~twice], n_buckets), k[~twice], r[~twice], a[~twice])
+        if twice.any():
+            seen = k[first[size > 1]]
+            nil = np.zeros(len(seen), np.int64)
+            yield message(SEEN, bucket_of(seen, n_buckets), seen, nil, nil)
+            yield message(TOLD, bucket_of(r[twice], n_buckets), np.zeros(int(twice.sum()), np.uint64), r[twice], a[twice])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -100,9 +93,12 @@ def _send(n_buckets: int):
             data, off = text_buffers(batch.column("t"))
             rids = batch.column("rid").to_numpy(zero_copy_only=False)
             for i, j in slices(off):
-                s = Sample(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                parts.append((s.key, s.ctx, rids[i + s.doc], s.at))
-                held += len(s.at)
+                part, ends = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                sums = prefix_hash(part)
+                at = sampled(part, ends, sums)
+                doc = np.searchsorted(ends, at, "right") - 1
+                parts.append((mix64((sums[at + KEY] - sums[at]) * powers(len(part) + 1)[1][at]), rids[i + doc], at - ends[doc]))
+                held += len(at)
                 if held >= FLUSH:
                     yield from flush(parts)
                     parts, held = [], 0
@@ -112,78 +108,138 @@ def _send(n_buckets: int):
     return run
 
 
-def settle(n: int):
-    """For each asked context: does it occur twice (FULL), must it be compared with others of its key (SHIP)?"""
+def live(n: int):
+    """The places in each document of the suffixes whose KEY bytes occur twice."""
 
     def run(table: pa.Table) -> pa.Table:
-        return _settle(table, n)
+        of = lambda kind: [flat(rows.column(x)) for rows in (table.filter(pc.equal(table.column("kind"), kind)),) for x in ("keys", "rids", "ats")]
+        (k, r, a), (seen, _, _), (_, to, told) = of(ASK), of(SEEN), of(TOLD)
+        order = np.argsort(k, kind="stable")
+        k, r, a = k[order], r[order], a[order]
+        same = k[1:] == k[:-1]
+        twice = (np.r_[False, same] | np.r_[same, False] if len(k) else np.zeros(0, bool)) | np.isin(k, seen)
+        return pack(np.r_[r[twice], to], np.r_[a[twice], told], n)
 
     return run
 
 
-def _settle(table: pa.Table, n: int) -> pa.Table:
-    ask = table.filter(pc.equal(table.column("kind"), ASK))
-    told = table.filter(pc.equal(table.column("kind"), TOLD))
-    k, c, r, a = (flat(ask.column(x)) for x in ("keys", "ctxs", "rids", "ats"))
-    order = np.lexsort((a, r, c, k))
-    k, c, r, a = k[order], c[order], r[order], a[order]
-    if len(k):
-        new_key = np.r_[True, k[1:] != k[:-1]]
-        new_ctx = new_key | np.r_[True, c[1:] != c[:-1]]
-        in_ctx, in_key = np.cumsum(new_ctx) - 1, np.cumsum(new_key) - 1
-        times = np.bincount(in_ctx, 1 + (a & 1))
-        full = times[in_ctx] > 1
-        mixed = np.bincount(in_key, new_ctx)[in_key] > 1
-        code = FULL * full + SHIP * (mixed & new_ctx)
-        a = (a >> 1) * 4 + code
-        r, a = r[code > 0], a[code > 0]
-    return pack(np.r_[r, flat(told.column("rids"))], np.r_[a, flat(told.column("ats"))], n)
-
-
-def _ship(splitters: np.ndarray):
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row of the batch, and place in its text, of each suffix."""
+    return np.repeat(np.arange(batch.num_rows), counts(batch.column("ats"))), flat(batch.column("ats"))
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, off = text_buffers(batch.column("t"))
+        doc, at = _places(batch)
+        view = memoryview(data)
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(view[p : p + LEAD]) for p in (off[doc] + at).tolist()], pa.binary())], ["lead"])
+
+
+def _splitters(rows: DataFrame, found: DataFrame, n_buckets: int) -> np.ndarray:
+    """Leading bytes of suffixes at every so many-th place of the sorted sample: SAMPLES for each bucket or so reach the driver."""
+    total = found.agg(F.sum(F.size("ats"))).first()[0] or 0
+    share = min(1.0, SAMPLES * n_buckets / max(1, total))
+    sample = found.withColumn("ats", F.filter("ats", lambda at: F.pmod(F.xxhash64("rid", at), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))).filter(F.size("ats") > 0)
+    leads = sorted(r.lead for r in maybe_in(rows, "rid", sample.select("rid")).filter("maybe").join(sample, "rid").select("t", "ats").mapInArrow(_leads, "lead binary").collect())
+    picked = [bytes(leads[len(leads) * i // n_buckets]) for i in range(1, n_buckets)] if leads else []
+    return np.unique(np.array(picked or [b""], dtype=f"S{LEAD}"))
+
+
+def _bits(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of all strings in contexts, in two halves."""
+    k = np.arange(GAP)
+    within = (k <= left[:, None]) & (LENGTH - k <= right[:, None])
+    halves = (within[:, :62], within[:, 62:])
+    return tuple((h * (np.uint64(1) << np.arange(h.shape[1], dtype=np.uint64))).sum(axis=1, dtype=np.uint64) for h in halves)
+
+
+def _ship(splitters: np.ndarray, n_buckets: int):
+    """Contexts of suffixes: those found once in a batch with their place, the others with the number of places, which are answered here."""
+    types = (pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = [c.split()[0] for c in SUFFIX.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column("t"))
-            ats = flat(batch.column("ats"))
-            n_ats = counts(batch.column("ats"))
-            doc = np.repeat(np.arange(batch.num_rows), n_ats)
-            code, at = ats & 3, ats >> 2
-            doc, at = doc[code & SHIP > 0], at[code & SHIP > 0]
-            rids = batch.column("rid").to_numpy(zero_copy_only=False)
-            for lo in range(0, len(at), 20_000):
-                d, a = doc[lo : lo + 20_000], at[lo : lo + 20_000]
-                pos = off[d] + a
+            row, place = _places(batch)
+            rids, view = batch.column("rid").to_numpy(zero_copy_only=False), memoryview(data)
+            for lo in range(0, len(place), 50_000):
+                d, a = row[lo : lo + 50_000], place[lo : lo + 50_000]
+                pos, r = off[d] + a, rids[d]
                 left, right = np.minimum(a, GAP - 1), np.minimum(off[d + 1] - pos, LENGTH)
-                text = memoryview(data)
-                ctx = [bytes(text[p - x : p + y]) for p, x, y in zip(pos.tolist(), left.tolist(), right.tolist(), strict=True)]
-                lead = np.array([x[y : y + LEAD] for x, y in zip(ctx, left.tolist(), strict=True)], dtype=f"S{LEAD}")
-                part = np.searchsorted(splitters, lead, "right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(rids[d], pa.int64()), pa.array(a, pa.int64()), pa.array(left.astype(np.int32)), pa.array(ctx, pa.binary())], ["part", "rid", "pos", "n_left", "ctx"])
+                number: dict[tuple[bytes, int], int] = {}
+                spans = zip((pos - left).tolist(), (pos + right).tolist(), left.tolist(), strict=True)
+                which = np.array([number.setdefault((bytes(view[b:e]), x), len(number)) for b, e, x in spans], np.int64)
+                copies = np.bincount(which, minlength=len(number))
+                lead = np.array([c[x : x + LEAD] for c, x in number], dtype=f"S{LEAD}")
+                first = np.unique(which, return_index=True)[1]
+                one = [[x] if y == 1 else [] for x, y in zip(r[first].tolist(), copies.tolist(), strict=True)]
+                at = [[x] if y == 1 else [] for x, y in zip(a[first].tolist(), copies.tolist(), strict=True)]
+                columns = (np.searchsorted(splitters, lead, "right"), [c for c, _ in number], [x for _, x in number], copies, one, at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                told = np.flatnonzero(copies[which] > 1)
+                if len(told):
+                    triples = np.stack([a[told], *(h.view(np.int64) for h in _bits(left[told], right[told]))], axis=1)
+                    to = bucket_of(r[told] * np.int64(-7046029254386353131), n_buckets)
+                    heads, (of, vals) = lists(np.repeat(to, 3), np.repeat(r[told], 3), triples.reshape(-1))
+                    none = [None] * len(heads)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((heads, none, none, none), types[:4], strict=True)] + [of, vals], names)
 
     return run
 
 
-def multikey_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of byte rows (n, 8m), and the run of equal rows that each sorted row is in: eight bytes a round, only where still tied."""
+def multikey_quicksort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte rows (n, 8m), and the run of equal rows that each sorted row is in.
+
+    A stretch is parted by a pivot word into lesser, equal and greater; the equal ones go on with the next word. Short stretches are sorted by
+    what is left of their bytes.
+    """
     n = len(rows)
     words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
     order, group = np.arange(n), np.zeros(n, np.int64)
-    tied = np.arange(n)
-    for depth in range(words.shape[1]):
-        if not len(tied):
-            break
-        word = words[order[tied], depth]
-        by = np.lexsort((word, group[tied]))
-        order[tied] = order[tied][by]
-        word, g = word[by], group[tied]
-        cut = np.r_[True, (word[1:] != word[:-1]) | (g[1:] != g[:-1])]
-        first = tied[np.flatnonzero(cut)]
-        group[tied] = first[np.cumsum(cut) - 1]
-        size = np.diff(np.r_[np.flatnonzero(cut), len(tied)])
-        tied = tied[np.repeat(size > 1, size)]
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if depth == words.shape[1] or hi - lo < 2:
+            group[lo:hi] = lo
+            continue
+        mine = order[lo:hi]
+        if hi - lo <= 24:
+            keys = [rows[i, 8 * depth :].tobytes() for i in mine.tolist()]
+            by = sorted(range(hi - lo), key=keys.__getitem__)
+            order[lo:hi] = mine[by]
+            first = lo
+            for k, i in enumerate(by):
+                if k and keys[i] != keys[by[k - 1]]:
+                    first = lo + k
+                group[lo + k] = first
+            continue
+        word = words[mine, depth]
+        pivot = np.sort(word[:: max(1, (hi - lo) // 9)])[4 if hi - lo >= 9 else 0]
+        less, more = word < pivot, word > pivot
+        a, b = lo + int(less.sum()), hi - int(more.sum())
+        order[lo:hi] = np.concatenate([mine[less], mine[~(less | more)], mine[more]])
+        todo += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
     return order, group
 
 
+def _refined(first: np.ndarray, columns: Iterator[np.ndarray], present: Iterator[np.ndarray], weight: np.ndarray) -> Iterator[np.ndarray]:
+    """Classes of rows that agree in ``first`` and in ever more bytes: before any, then after each column. -1 is a row that lacks a byte, or that is
+    alone in its class and has one copy."""
+    own = first.copy()
+    yield own
+    for column, there in zip(columns, present, strict=True):
+        own = np.where(there, own, -1)
+        some = np.flatnonzero(own >= 0)
+        if len(some):
+            pair = own[some] * 256 + column[some]
+            _, now, size = np.unique(pair, return_inverse=True, return_counts=True)
+            alone = (size[now] == 1) & (weight[some] == 1)
+            own[some] = np.where(alone, -1, now)
+        yield own
+
+
 def compare(n: int):
     """Which strings around each suffix start elsewhere: bit k for the string that starts k bytes before it."""
 
@@ -194,63 +250,72 @@ def compare(n: int):
 
 
 def _compare(table: pa.Table, n_buckets: int) -> pa.Table:
-    table = table.combine_chunks()
-    data, off = text_buffers(table.column("ctx"))
-    left = table.column("n_left").to_numpy().astype(np.int64)
-    n, wide = table.num_rows, GAP - 1 + LENGTH
-    right = np.diff(off) - left
+    sent, told = (table.filter(f(table.column("ctx"))).combine_chunks() for f in (pc.is_valid, pc.is_null))
+    # a context of one batch is one row here, with the copies that other batches have
+    pairs = zip(sent.column("ctx").to_pylist(), sent.column("n_left").to_pylist(), strict=True)
+    names = pa.array([c + x.to_bytes(1, "big") for c, x in pairs], pa.binary()).dictionary_encode()
+    which = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    data, off = text_buffers(names.dictionary)
+    owners, rids, ats = counts(sent.column("rids")), flat(sent.column("rids")), flat(sent.column("vals"))
+    n, wide = len(off) - 1, GAP - 1 + LENGTH
+    weight = np.bincount(which, sent.column("copies").to_numpy(), minlength=n).astype(np.int64)
+    left = data[off[1:] - 1].astype(np.int64)
+    right = np.diff(off) - 1 - left
     cells = np.zeros((n, wide), np.uint8)
-    for r in range(n):  # the suffix starts in column GAP-1
-        cells[r, GAP - 1 - left[r] : GAP - 1 + right[r]] = data[off[r] : off[r + 1]]
-    order, group = multikey_order(cells[:, GAP - 1 : GAP - 1 + KEY])
-    size = np.bincount(group, minlength=n)
-    keep = size[group] > 1
+    for r, (b, e, x) in enumerate(zip(off[:-1].tolist(), (off[1:] - 1).tolist(), left.tolist(), strict=True)):  # the suffix starts in column GAP-1
+        cells[r, GAP - 1 - x : GAP - 1 - x + e - b] = data[b:e]
+    order, group = multikey_quicksort(cells[:, GAP - 1 : GAP - 1 + KEY])
+    keep = np.bincount(group, weight[order], minlength=n)[group] > 1
     order, group = order[keep], group[keep]
-    cells, left, right = cells[order], left[order], right[order]
-    m = len(order)
-    low, high = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-    power, inverse = powers(wide + 1)
-    block = max(1, min(GAP, (64 << 20) // (8 * max(1, m))))
-    for k0 in range(0, GAP, block):
-        ks = np.arange(k0, min(k0 + block, GAP))
-        hashes = np.empty((len(ks), m), np.uint64)
-        for lo in range(0, m, 8192):
-            part = cells[lo : lo + 8192]
-            sums = np.zeros((len(part), wide + 1), np.uint64)
-            np.cumsum(_TABLE[part] * power[:wide], axis=1, out=sums[:, 1:])
-            begin = GAP - 1 - ks
-            hashes[:, lo : lo + 8192] = ((sums[:, begin + LENGTH] - sums[:, begin]) * inverse[begin]).T
-        for k, h in zip(ks.tolist(), hashes, strict=True):
-            ok = np.flatnonzero((left >= k) & (right >= LENGTH - k))
-            if len(ok) < 2:
-                continue
-            v = mix64(h[ok] + group[ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            by = np.argsort(v)
-            v = v[by]
-            same = v[1:] == v[:-1]
-            twice = ok[by[np.r_[False, same] | np.r_[same, False]]]
-            if k < 62:
-                low[twice] |= np.uint64(1 << k)
-            else:
-                high[twice] |= np.uint64(1 << (k - 62))
-    hit = (low | high) > 0
-    rids, pos = table.column("rid").to_numpy()[order][hit], table.column("pos").to_numpy()[order][hit]
+    low, high = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for lo, hi in _stretches(group):
+        rows = order[lo:hi]
+        low[rows], high[rows] = _repeated(cells[rows], group[lo:hi], left[rows], right[rows], weight[rows])
+    row = np.repeat(which, owners)
+    hit = ((low | high) > 0)[row]
+    row, of, at = row[hit], rids[hit], ats[hit]
     # three numbers for each suffix: its place and the two halves of the bits
-    triples = np.stack([pos.astype(np.int64), low[hit].view(np.int64), high[hit].view(np.int64)], axis=1).reshape(-1)
-    return pack(np.repeat(rids, 3), triples, n_buckets)
+    triples = np.stack([at, low[row].view(np.int64), high[row].view(np.int64)], axis=1).reshape(-1)
+    return pack(np.r_[np.repeat(of, 3), flat(told.column("rids"))], np.r_[triples, flat(told.column("vals"))], n_buckets)
+
+
+def _stretches(group: np.ndarray, most: int = 20_000) -> Iterator[tuple[int, int]]:
+    """Whole runs, up to ``most`` rows together if they can."""
+    ends = np.r_[np.flatnonzero(np.diff(group)) + 1, len(group)]
+    lo = 0
+    while lo < len(group):
+        fits = ends[(ends > lo) & (ends <= lo + most)]
+        hi = int(fits[-1] if len(fits) else ends[np.searchsorted(ends, lo, "right")])
+        yield lo, hi
+        lo = hi
+
+
+def _repeated(cells: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the strings of each row that start elsewhere, among rows in runs of equal KEY bytes."""
+    at = GAP - 1
+    runs_ = np.unique(group, return_inverse=True)[1].astype(np.int64)
+    forward = _refined(runs_, (cells[:, at + m] for m in range(KEY, LENGTH)), (right > m for m in range(KEY, LENGTH)), weight)
+    rights = [c.astype(np.int32) for c in forward]  # the class of KEY + i bytes on the right
+    lefts = _refined(runs_, (cells[:, at - k] for k in range(1, GAP)), (left >= k for k in range(1, GAP)), weight)
+    low, high = np.zeros(len(cells), np.uint64), np.zeros(len(cells), np.uint64)
+    for k, of_left in enumerate(lefts):
+        of_right = rights[LENGTH - k - KEY]
+        ok = np.flatnonzero((of_left >= 0) & (of_right >= 0))
+        if not len(ok):
+            continue
+        _, now = np.unique(of_left[ok] * (len(cells) + 1) + of_right[ok], return_inverse=True)
+        hit = ok[np.bincount(now, weight[ok])[now] > 1]
+        if k < 62:
+            low[hit] |= np.uint64(1 << k)
+        else:
+            high[hit] |= np.uint64(1 << (k - 62))
+    return low, high
 
 
 def _cut(with_text: bool):
-    def starts(n: int, full: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    def starts(n: int, triples: np.ndarray) -> np.ndarray:
         """Which bytes of a document start a repeated string."""
-        mark = np.zeros(n + 2, np.int32)
-        pos = full >> 2
-        pos = pos[(full & FULL) > 0]
-        lo, hi = np.maximum(pos - (GAP - 1), 0), np.minimum(pos, n - LENGTH)
-        ok = lo <= hi
-        np.add.at(mark, lo[ok], 1)
-        np.add.at(mark, hi[ok] + 1, -1)
-        out = np.cumsum(mark[: n + 1]) > 0
+        out = np.zeros(n + 1, bool)
         place, low, high = triples.reshape(-1, 3).T.copy()
         for k in range(GAP):
             bits = low >> k if k < 62 else high >> (k - 62)
@@ -260,21 +325,17 @@ def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column("t"))
-            view = memoryview(data)
-            lists_ = []
-            for name in ("full", "some"):
-                column = batch.column(name)
-                n = np.where(column.is_valid().to_numpy(zero_copy_only=False), counts(column), 0)
-                lists_.append((flat(column.drop_null()), np.r_[0, np.cumsum(n)]))
-            (full, at_full), (some, at_some) = lists_
+            view, column = memoryview(data), batch.column("found")
+            upto = np.r_[0, np.cumsum(np.where(column.is_valid().to_numpy(zero_copy_only=False), counts(column), 0))]
+            triples = flat(column.drop_null())
             kept, removed, spans = [], [], []
             for r in range(batch.num_rows):
                 lo, hi = int(off[r]), int(off[r + 1])
-                f, s = full[at_full[r] : at_full[r + 1]], some[at_some[r] : at_some[r + 1]]
+                mine = triples[upto[r] : upto[r + 1]]
                 gone = np.zeros(0, bool)
-                if len(f) or len(s):
+                if len(mine):
                     mark = np.zeros(hi - lo + 1, np.int32)
-                    first = np.flatnonzero(starts(hi - lo, f, s))
+                    first = np.flatnonzero(starts(hi - lo, mine))
                     mark[first] += 1
                     np.add.at(mark, np.minimum(first + LENGTH, hi - lo), -1)
                     gone = np.cumsum(mark[:-1]) > 0
@@ -290,27 +351,17 @@ def _cut(with_text: bool):
     return run
 
 
-def _splitters(rows: DataFrame, n_buckets: int) -> np.ndarray:
-    """Leading bytes at hashed places of SAMPLES texts for each bucket: at most SAMPLES * n_buckets short strings reach the driver."""
-    lead = rows.filter("length(t) > 0").select("rid", F.expr(f"substring(t, cast(1 + pmod(shiftright(rid, 8), length(t)) as int), {LEAD})").alias("lead"))
-    found = sorted(r.lead.encode()[:LEAD] for r in lead.orderBy("rid").limit(SAMPLES * n_buckets).collect())
-    picked = [found[len(found) * i // n_buckets] for i in range(1, n_buckets)] if found else []
-    return np.unique(np.array(picked or [b""], dtype=f"S{LEAD}"))
-
-
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and kept_text if asked for."""
     n = buckets(docs)
     rows = docs.select(F.col("doc_id"), text_or_empty().alias("t")).withColumn("rid", F.xxhash64("doc_id", "t"))
-    full = cut_lineage(per_document(rows.select("rid", "t").mapInArrow(_send(n), MESSAGE).groupBy("bucket").applyInArrow(settle(n), PACKED), "ats").withColumnRenamed("did", "rid"))
-    release(docs.sparkSession)
-    # texts without an answer are not moved; the others once, for both joins
-    flagged = maybe_in(rows, "rid", sketch(full, "rid"))
+    asked = dealt(rows.select("rid", "t").mapInArrow(_send(n), MESSAGE), "bucket", n).applyInArrow(live(n), PACKED)
+    # rows that repeat an id and its text ask for the same places
+    twice = cut_lineage(per_document(asked, "ats", n).select(F.col("did").alias("rid"), F.array_distinct("ats").alias("ats")))
+    # texts without a live suffix are not moved; the others once, for both joins
+    flagged = maybe_in(rows, "rid", twice.select("rid"))
     some, others = flagged.filter("maybe").drop("maybe"), flagged.filter(~F.col("maybe")).drop("maybe")
-    shipping = full.withColumn("ats", F.filter("ats", lambda x: x.bitwiseAND(SHIP) > 0)).filter(F.size("ats") > 0)
-    shipped = some.join(shipping, "rid").mapInArrow(_ship(_splitters(rows, n)), "part int, rid bigint, pos bigint, n_left int, ctx binary")
-    found = per_document(shipped.groupBy("part").applyInArrow(compare(n), PACKED), "some").withColumnRenamed("did", "rid")
-    told = some.join(full.select("rid", F.col("ats").alias("full")), "rid", "left").join(found, "rid", "left")
-    none = F.lit(None).cast("array<bigint>")
-    joined = told.unionByName(others.withColumn("full", none).withColumn("some", none))
-    return joined.select("doc_id", "t", "full", "some").mapInArrow(_cut(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    shipped = some.join(twice, "rid").mapInArrow(_ship(_splitters(rows, twice, n), n), SUFFIX)
+    found = cut_lineage(per_document(dealt(shipped, "part", n).applyInArrow(compare(n), PACKED), "found", n).withColumnRenamed("did", "rid"))
+    told = some.join(found, "rid", "left").unionByName(others.withColumn("found", F.lit(None).cast("array<bigint>")))
+    return told.select("doc_id", "t", "found").mapInArrow(_cut(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)

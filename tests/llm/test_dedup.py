@@ -73,6 +73,14 @@ def test_substring_other_window_and_text(docs, rows):
     assert all(sha(r.kept_text.encode()) == r.kept_sha256 for r in got)
 
 
+def test_substring_extreme_ids(spark):
+    line = " ".join(f"w{k}" for k in range(20))
+    rows = [(-(2**63), line), (5, "x " + line), (2**63 - 1, line + " y"), (None, line), (0, line + " z")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(map(tuple, got)) == substring_brute(rows)
+    assert {r.doc_id: r.n_removed for r in got}[-(2**63)] == 0
+
+
 def test_substring_empty(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
@@ -86,13 +94,13 @@ def suffix_brute(rows, length=200):
     times = Counter()
     for _, t in rows:
         b = (t or "").encode()
-        times.update(b[k : k + length] for k in range(len(b) - length + 1))
+        times.update(hash(b[k : k + length]) for k in range(len(b) - length + 1))
     out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - length + 1):
-            if times[b[k : k + length]] > 1:
+            if times[hash(b[k : k + length])] > 1:
                 gone[k : k + length] = b"\1" * length
         spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
         out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone, strict=True) if not g))))
@@ -122,17 +130,38 @@ def test_suffix_empty(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_multikey_order():
+def test_multikey_quicksort():
     import numpy as np
 
     rows = np.random.default_rng(1).integers(0, 3, (500, 16)).astype(np.uint8)
     rows[:, 2:14] = 0
-    order, group = suffix_dedup.multikey_order(rows)
+    order, group = suffix_dedup.multikey_quicksort(rows)
     keys = [rows[i].tobytes() for i in order]
     assert keys == sorted(keys)
     assert [a == b for a, b in zip(keys, keys[1:], strict=False)] == [a == b for a, b in zip(group, group[1:], strict=False)]
 
 
+def near_brute(texts):
+    """The definition: id -> (rep_id, class_id, n_links)."""
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    near_ = {i: [j for j in texts if j != i and sets[i] and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])] for i in texts}
+    root = {}
+    for i in sorted(texts):
+        todo = [i] if i not in root else []
+        while todo:
+            k = todo.pop()
+            if k not in root:
+                root[k] = i
+                todo += near_[k]
+    rep = {}
+    for i in sorted(texts):
+        rep.setdefault(texts[i] or "", i)
+    return {i: (rep[texts[i] or ""], root[i] if sets[i] else rep[texts[i] or ""], len(near_[i])) for i in texts}
+
+
 def near_rows(rows):
     """One row an id, as the brute-force version is keyed by it."""
     return [(i, t) for i, t in dict(rows).items() if i is not None]
@@ -140,7 +169,7 @@ def near_rows(rows):
 
 def test_near(spark, rows):
     rows = near_rows(rows)
-    brute = near.brute(dict(rows))
+    brute = near_brute(dict(rows))
     got = near.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in got} == brute
     assert sum(b[2] > 0 for b in brute.values()) >= 10
@@ -173,12 +202,18 @@ def test_near_large_group(spark):
         for _ in range(i % 5):
             words[rng.randrange(150)] = f"e{rng.randrange(99)}"
         rows.append((i, " ".join(words)))
-    brute = near.brute(dict(rows))
+    brute = near_brute(dict(rows))
     for block in (near.BLOCK, 64):
         got = near.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), block).collect()
         assert {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in got} == brute
 
 
+def test_near_blocks_by_bytes(spark, rows):
+    rows = near_rows(rows)
+    got = near.classes(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), 4096, 3000).collect()
+    assert {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in got} == near_brute(dict(rows))
+
+
 def test_near_empty(empty):
     assert near.classes(empty).count() == 0
 
@@ -197,3 +232,43 @@ def test_stage_keeps_one_of_each(docs, rows):
     classes = near.classes(kept)
     again = stages.without_near_copies(kept)
     assert again.count() == classes.select("class_key").distinct().count()
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named as anything inside are neither lost nor changed."""
+    rows = [(i, f"text number {i % 7} of a few words more", f"r{i}", f"n{i}", i, i % 2 == 0, 1.5, f"s{i}") for i in range(20)]
+    names = "doc_id bigint, text string, `row` string, name string, word__ int, maybe boolean, times double, sha string"
+    docs = spark.createDataFrame(rows, names)
+    for stage, n in ((stages.without_copies, 7), (stages.without_near_copies, 7), (stages.mixed, None)):
+        got = stage(docs.withColumn("source", F.lit("a")) if n is None else docs).collect()
+        assert n is None or len(got) == n
+        assert {tuple(r)[:8] for r in got} <= set(rows) and got[0].__fields__[:8] == docs.columns
+
+
+def test_stage_of_near_copies_matches_brute_force(spark, rows):
+    rows = near_rows(rows)
+    brute = near_brute(dict(rows))
+    got = stages.without_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    # of each class the smallest id; a text without words is a class of its copies
+    assert sorted(r.doc_id for r in got) == sorted({class_id for _, class_id, _ in brute.values()})
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes among short ones, each operator against its definition."""
+    import random
+
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    long = prose(200_000)
+    edited = list(long)
+    for k in range(0, len(edited), 997):
+        edited[k] = "edited"
+    rows = [(1, " ".join(long)), (2, " ".join(edited)), (3, " ".join(prose(500) + long[100_000:150_000])), (4, "x" * 2_000_000), (5, " ".join(long)), (6, " ".join(long[70:110]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert min(len(t) for _, t in rows[:2]) > 1_000_000
+    assert Counter(map(tuple, exact_dedup.exact_classes(frame).collect())) == exact_brute(rows)
+    assert Counter(map(tuple, substring_dedup.remove_repeats(frame).collect())) == substring_brute(rows)
+    assert {r.doc_id: (r.rep_id, r.class_id, r.n_links) for r in near.classes(frame).collect()} == near_brute(dict(rows))
+    small = [(i, t[: 1 << 20]) for i, t in rows if i != 4] + [(4, "x" * 300)]
+    assert Counter(map(tuple, suffix_dedup.remove_repeats(spark.createDataFrame(small, "doc_id bigint, text string")).collect())) == suffix_brute(small)
