@@ -101,7 +101,7 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return P.completeness(table(spark, d, "documents"), ["text", "lang", "source"])
 
 
-@query("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), n AS (SELECT count(*)::DOUBLE AS total FROM documents) SELECT token, count(*) AS documents, round(count(*) / any_value(total), 6) AS ratio FROM t, n GROUP BY token HAVING count(*) / any_value(total) >= 0.3")
+@query("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS token FROM documents), n AS (SELECT count(*)::DOUBLE AS total FROM documents) SELECT token, count(*) AS documents, round(count(*) / any_value(total), 6) AS ratio FROM t, n GROUP BY token HAVING count(*) / any_value(total) >= 0.3")
 def stopword_candidates(spark: SparkSession, d: str) -> DataFrame:
     return P.document_frequency(table(spark, d, "documents"), "doc_id", M.tokens("text"), 0.3).withColumn("ratio", F.round("ratio", 6))
 
@@ -183,7 +183,7 @@ def distinct_in_order(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(roles, ",").alias("roles"), F.size(roles).cast("long").alias("distinct_roles"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations), b AS (SELECT conv_id, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS bigram FROM t) SELECT bigram, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM b GROUP BY bigram HAVING count(*) >= 5")
+@query("WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\\p{L}]+') AS ws FROM conversations), b AS (SELECT conv_id, unnest([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) AS bigram FROM t) SELECT bigram, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM b GROUP BY bigram HAVING count(*) >= 5")
 def bigram_counts(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", F.explode(M.bigrams(M.tokens("text"))).alias("bigram"))
     return turns.groupBy("bigram").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("conversations")).filter("n >= 5")
@@ -224,7 +224,7 @@ def programs_per_topic(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), n AS (SELECT count(*)::DOUBLE AS total FROM documents), s AS (SELECT word, count(*) AS documents, count(*) / any_value(total) AS ratio FROM t, n GROUP BY word), l AS (SELECT unnest(['the', 'of', 'zzzz']) AS word) SELECT word, coalesce(documents, 0) AS documents, round(coalesce(ratio, 0), 6) AS ratio, true AS listed FROM l LEFT JOIN s USING (word) UNION ALL SELECT word, documents, round(ratio, 6), false FROM s ANTI JOIN l USING (word) WHERE ratio >= 0.5"
+    "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents), n AS (SELECT count(*)::DOUBLE AS total FROM documents), s AS (SELECT word, count(*) AS documents, count(*) / any_value(total) AS ratio FROM t, n GROUP BY word), l AS (SELECT unnest(['the', 'of', 'zzzz']) AS word) SELECT word, coalesce(documents, 0) AS documents, round(coalesce(ratio, 0), 6) AS ratio, true AS listed FROM l LEFT JOIN s USING (word) UNION ALL SELECT word, documents, round(ratio, 6), false FROM s ANTI JOIN l USING (word) WHERE ratio >= 0.5"
 )
 def stopword_recheck(spark: SparkSession, d: str) -> DataFrame:
     listed = spark.createDataFrame([("the",), ("of",), ("zzzz",)], "word string")

@@ -11,10 +11,21 @@ from corpuslens.registry import query
 from corpuslens.tables import table
 
 
-@query()
+LIGHT = r"""WITH m AS (SELECT doc_id, translate(regexp_replace(replace(nfc_normalize(coalesce(text, '')), chr(8233), chr(10) || chr(10)), '[\x00-\x08\x0e-\x1b\x7f\x{80}-\x{84}\x{86}-\x{9f}]', ' ', 'g'), chr(8220) || chr(8221) || chr(8222) || chr(8223) || chr(8216) || chr(8217) || chr(8218) || chr(8219) || chr(8208) || chr(8209) || chr(8210) || chr(8722) || chr(65123) || chr(65293) || chr(8203) || chr(8288) || chr(65279), repeat(chr(34), 4) || repeat(chr(39), 4) || '------') AS t FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split_regex(t, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}]') AS ls FROM m)),
+f AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\s\x0b\x1c\x1d\x1e\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS flat FROM l),
+w AS (SELECT doc_id, pos, trim(replace(flat, chr(173), '')) || CASE WHEN ends_with(flat, chr(173)) THEN chr(173) ELSE '' END AS line FROM f WHERE trim(replace(flat, chr(173), '')) <> ''),
+n AS (SELECT *, lead(line) OVER o AS then_, lead(pos) OVER o AS pos_ FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT doc_id, pos, CASE WHEN then_ IS NULL THEN rtrim(line, chr(173)) WHEN pos_ - pos > 1 THEN rtrim(line, chr(173)) || chr(10) || chr(10) WHEN ends_with(line, chr(173)) OR (regexp_matches(line, '\p{L}-$') AND regexp_matches(then_, '^\p{Ll}')) THEN substr(line, 1, length(line) - 1)
+WHEN regexp_matches(line, '[\p{L}\p{N}]-$') AND regexp_matches(then_, '^[\p{L}\p{N}]') THEN line WHEN regexp_matches(line, '[.!?…]["''»)\]]*$') AND regexp_matches(then_, '^[-–—•·▪*]|^["''«(\[¿¡]*\p{Lu}') THEN line || chr(10) ELSE line || ' ' END AS piece FROM n),
+c AS (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS t FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(length(coalesce(t, '')) AS INTEGER) AS n_chars, md5(coalesce(t, '')) AS text_md5 FROM documents LEFT JOIN c USING (doc_id)"""
+
+
+@query(LIGHT)
 def light_clean(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", T.light_clean(F.col("text")).alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return docs.select("doc_id", T.light_clean(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query(r"SELECT doc_id, length(t) AS n_chars, md5(t) AS flat_md5 FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents)")
@@ -29,10 +40,16 @@ def line_break_profile(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", *(F.col(f"b.{c}").cast("long").alias(c) for c in ("breaks", "inside", "hyphen")))
 
 
-@query()
+#: Sentences of a text in SQL; the break is put in twice, as a one-letter sentence may lie between two.
+SENTENCES = r"[s FOR s IN string_split(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')), '([.!?]) ([\p{Lu}¿¡\"''(])', '\1' || chr(1) || '\2', 'g'), '([.!?]) ([\p{Lu}¿¡\"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)) IF s <> '']"
+#: Greedy packing in SQL: chunks times a million, and the room left, in one number.
+PACK = "list_reduce([0::BIGINT] || [CAST(len(string_split(s, ' ')) AS BIGINT) FOR s IN {s}], lambda a, n: CASE WHEN n <= a % 1000000 THEN a - n ELSE (a // 1000000 + (n + {b} - 1) // {b}) * 1000000 + ((n + {b} - 1) // {b}) * {b} - n END) // 1000000"
+
+
+@query(f"SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST({PACK.format(s='s', b=128)} AS BIGINT) AS chunks FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)")
 def sentence_packing(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of each text, and the chunks of 128 tokens that they need."""
-    sentences = T.approximate_sentences(F.col("text"))
+    sentences = T.approximate_sentences(F.coalesce("text", F.lit("")))
     sizes = F.transform("s", lambda s: F.size(F.split(s, " ")))
     return table(spark, d, "documents").select("doc_id", sentences.alias("s")).select("doc_id", F.size("s").cast("long").alias("sentences"), T.packed(sizes, 128).alias("chunks"))
 

@@ -67,9 +67,7 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(V + ", p AS (SELECT a.label AS la, b.label AS lb, list_cosine_similarity(a.vec, b.vec) AS s FROM v a JOIN v b ON a.id < b.id) SELECT la = lb AS same_topic, count(*) AS pairs, round(avg(s), 6) AS mean_score, round(max(s), 6) AS max_score FROM p GROUP BY la = lb")
 def all_pairs_summary(spark: SparkSession, d: str) -> DataFrame:
-    pairs = search.all_pairs(_v(spark, d), 4).select("a", "b", cosine("va", "vb").alias("s"))
-    la, lb = _labels(spark, d).select(F.col("id").alias("a"), F.col("label").alias("la")), _labels(spark, d).select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(la, "a").join(lb, "b").groupBy((F.col("la") == F.col("lb")).alias("same_topic")).agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean_score"), F.round(F.max("s"), 6).alias("max_score"))
+    return search.pair_summary(_v(spark, d), _labels(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_score", "max_score")})
 
 
 @query(C + " SELECT topic, unnest(range(1, len(centroid) + 1)) AS pos, round(unnest(centroid), 6) AS value FROM c")
@@ -262,7 +260,14 @@ def answer(spark: SparkSession, d: str, vector_id: int = 0) -> DataFrame:
     return told.select(F.col("id").alias("vec_id"), "topic", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("threshold")).alias("atypical"), "quartile", F.concat_ws(",", "similar").alias("similar"), F.concat_ws(",", "antecedents").alias("antecedents"))
 
 
-@query()
+@query(
+    _mmr_sql(5).replace(" SELECT CAST(1 AS BIGINT) AS rank", ", ant AS (SELECT CAST(1 AS BIGINT) AS rank", 1)
+    + "), "
+    + A.removeprefix(V + ", ")
+    + """, t AS (SELECT quantile_cont(sim, 0.05) AS threshold FROM s WHERE label = topic), z AS (SELECT label AS topic, count(*) AS size FROM embeddings GROUP BY label), q AS (SELECT quantile_cont(size, 0.25) AS c1, quantile_cont(size, 0.5) AS c2, quantile_cont(size, 0.75) AS c3, count(DISTINCT size) AS k FROM z),
+near AS (SELECT b.id, row_number() OVER (ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.id) AS nth FROM v a, v b WHERE a.id = 0 AND b.id <> 0)
+SELECT 0::BIGINT AS vec_id, r.topic, round(sim, 6) AS sim, sim < threshold AS atypical, CASE WHEN k >= 2 THEN CAST(1 + (size > c1)::INT + (size > c2)::INT + (size > c3)::INT AS BIGINT) END AS quartile, (SELECT string_agg(id, ',' ORDER BY nth) FROM near WHERE nth <= 5) AS similar, (SELECT string_agg(vec_id, ',' ORDER BY rank) FROM ant) AS antecedents FROM r, t, q, z WHERE r.id = 0 AND rk = 1 AND z.topic = r.topic"""
+)
 def proposal_answer(spark: SparkSession, d: str) -> DataFrame:
     return answer(spark, d)
 

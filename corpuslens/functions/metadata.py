@@ -84,5 +84,5 @@ def bigrams(tokens: Column | str) -> Column:
     return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(t, F.lit(1), n - 1), F.slice(t, F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
-def tokens(text: Column | str, pattern: str = r"[a-z]+") -> Column:
+def tokens(text: Column | str, pattern: str = r"\p{L}+") -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(pattern), F.lit(0))

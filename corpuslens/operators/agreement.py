@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.operators.guards import require
+from corpuslens.operators.running import running
+
 Z95 = 1.959963984540054
 
 
@@ -46,12 +49,12 @@ def final_level(levels: Sequence[Column], scale: Sequence[str]) -> Column:
 def pr_curve(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """A point at each distinct score (of each group): tau, tp, fp, fn, tn, precision, recall, f1 of predicting 1 from tau up.
 
-    Rows are counted per distinct score first, so the running sums are over scores, not rows.
+    Rows are counted per distinct score first, and the counts added up range by range.
     """
     step = scored.groupBy(*by, F.col("score").alias("tau")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    up = W.partitionBy(*by).orderBy(F.desc("tau")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    cum = step.withColumns({"tp": F.sum("pos").over(up), "predicted": F.sum("n").over(up), "positives": F.sum("pos").over(whole), "total": F.sum("n").over(whole)})
+    whole = step.groupBy(*by).agg(F.sum("pos").alias("positives"), F.sum("n").alias("total"))
+    cum = running(step, "tau", {"tp": "pos", "predicted": "n"}, by, descending=True)
+    cum = cum.join(F.broadcast(whole), list(by)) if by else cum.crossJoin(F.broadcast(whole))
     tp, fp, fn = F.col("tp"), F.col("predicted") - F.col("tp"), F.col("positives") - F.col("tp")
     return cum.select(*by, "tau", tp, fp.alias("fp"), fn.alias("fn"), (F.col("total") - F.col("positives") - fp).alias("tn"), *rates(tp, fp, fn))
 
@@ -100,7 +103,8 @@ def bootstrap(scored: DataFrame, id_col: str, taus: dict[str, float], resamples:
     # Cumulative Poisson(1) probabilities.
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
     drawn = scored.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "resample", F.col(id_col).cast("string")), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u")
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("resample").cast("string"), F.col(id_col).cast("string")))
+    u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))).alias("u")
     weighted = drawn.select("*", u).withColumn("w", sum(((F.col("u") >= s).cast("int") for s in steps[1:]), (F.col("u") >= steps[0]).cast("int")))
     counts = []
     for name, tau in taus.items():
@@ -123,16 +127,75 @@ def likert(answers: DataFrame, reverse: Sequence[str], low: int, high: int) -> D
     return rows.groupBy("item").agg(F.count("v").alias("n"), *freq, F.percentile("v", F.lit(0.25)).alias("q1"), F.median("v").alias("median"), F.percentile("v", F.lit(0.75)).alias("q3"))
 
 
+def _alpha(n: Column, parts: Column, whole: Column, k: int) -> list[Column]:
+    """alpha of k items and why it is undefined."""
+    reason = F.when(F.lit(k < 2), "one_item").when(n < 2, "fewer_than_two_rows").when(whole == 0, "no_variance")
+    alpha = F.lit(k / (k - 1) if k > 1 else 0.0) * (1 - F.try_divide(parts, whole))
+    return [F.when(reason.isNull(), alpha).alias("alpha"), reason.alias("undefined_reason")]
+
+
 def cronbach(wide: DataFrame, items: Sequence[str]) -> DataFrame:
     """alpha over rows that answer every item."""
-    whole = wide.dropna(subset=list(items))
-    total = sum((F.col(i) for i in items[1:]), F.col(items[0]))
-    parts = sum((F.var_samp(i) for i in items[1:]), F.var_samp(items[0]))
-    got = whole.agg(F.count("*").alias("n"), parts.alias("parts"), F.var_samp(total).alias("whole"))
-    k = len(items)
-    reason = F.when(F.lit(k < 2), "one_item").when(F.col("n") < 2, "fewer_than_two_rows").when(F.col("whole") == 0, "no_variance")
-    alpha = F.lit(k / (k - 1) if k > 1 else 0.0) * (1 - F.try_divide("parts", "whole"))
-    return got.select("n", F.when(reason.isNull(), alpha).alias("alpha"), reason.alias("undefined_reason"))
+    return cronbach_if_deleted(wide, items).filter("deleted is null").drop("deleted")
+
+
+def cronbach_if_deleted(wide: DataFrame, items: Sequence[str]) -> DataFrame:
+    """n and alpha over rows that answer every item: of all items (deleted is null), and of those left without each; one pass."""
+    rows = wide.dropna(subset=list(items))
+    total = lambda some: sum((F.col(i) for i in some[1:]), F.col(some[0])) if some else F.lit(0.0)
+    sets = [(None, list(items)), *((i, [x for x in items if x != i]) for i in items)]
+    stats = [F.count("*").alias("n"), *(F.var_samp(i).alias(f"v_{k}") for k, i in enumerate(items)), *(F.var_samp(total(some)).alias(f"w_{k}") for k, (_, some) in enumerate(sets))]
+    got = rows.agg(*stats)
+    part = lambda some: sum((F.col(f"v_{items.index(i)}") for i in some), F.lit(0.0))
+    each = [F.struct(F.lit(name).cast("string").alias("deleted"), F.col("n"), *_alpha(F.col("n"), part(some), F.col(f"w_{k}"), len(some))) for k, (name, some) in enumerate(sets)]
+    return got.select(F.inline(F.array(*each)))
+
+
+def answer_matrix(answers: DataFrame, low: int, high: int) -> DataFrame:
+    """Answers (respondent, item, value) that are whole numbers of the scale or null, one a respondent and item, with every respondent asked every
+    item; other answers stop the job, with all faults at once."""
+    if not low < high:
+        raise ValueError("the scale has two ends")
+    v = F.col("value").cast("double")
+    checked = require(answers, {"answers are on the scale": F.col("value").isNull() | ((v == F.floor(v)) & v.between(low, high)), "items have a name": F.coalesce(F.trim("item") != "", F.lit(False))})
+    shape = checked.agg(F.countDistinct("respondent").alias("r"), F.countDistinct("item").alias("i"), F.count("*").alias("n"), F.countDistinct("respondent", "item").alias("d")).first()
+    if shape.n != shape.d or shape.n != shape.r * shape.i:
+        raise ValueError(f"{shape.r} respondents and {shape.i} items make {shape.r * shape.i} answers, not {shape.n}")
+    return checked
+
+
+def dimensions(groups: dict[str, Sequence[str]], items: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The items of each dimension, if these part the items: each in exactly one, none empty, none unknown."""
+    flat = [i for members in groups.values() for i in members]
+    problems = [f"{d} has no item" for d, m in groups.items() if not m]
+    problems += [f"{i} is in {flat.count(i)} dimensions" for i in sorted(set(flat) | set(items)) if flat.count(i) != 1]
+    problems += [f"{i} has no answers" for i in sorted(set(flat) - set(items))]
+    if problems:
+        raise ValueError("; ".join(problems))
+    return {d: tuple(m) for d, m in groups.items()}
+
+
+def verification(judged: DataFrame, target: float) -> DataFrame:
+    """Accuracy of judged rows (program, general, specific, status) overall and by program: judged, correct, partial, accuracy, its interval, accuracy
+    with true absences, and for the specific ones those that apply and are correct. ``meets_target`` is the overall accuracy's."""
+    one = lambda c: F.count_if(c)
+    absent = (F.col("status") == "not_found") & (F.col("general") == "absent")
+    got = judged.rollup("program").agg(
+        F.grouping("program").alias("overall"),
+        F.count("*").alias("judged"),
+        one(F.col("general") == "correct").alias("correct"),
+        one(F.col("general") == "partial").alias("partial"),
+        one(absent).alias("true_absences"),
+        one(F.col("specific") != "not_applicable").alias("applicable"),
+        one(F.col("specific") == "correct").alias("specific_correct"),
+    )
+    share = F.col("correct") / F.col("judged")
+    specific = F.try_divide(F.col("specific_correct").cast("double"), F.col("applicable"))
+    return got.select(
+        F.when(F.col("overall") == 1, "(all)").otherwise(F.col("program")).alias("program"), "judged", "correct", "partial", share.alias("accuracy"), *wilson(share, F.col("judged")),
+        ((F.col("correct") + F.col("true_absences")) / F.col("judged")).alias("accuracy_with_absences"), "applicable", specific.alias("specific_accuracy"),
+        F.when(F.col("overall") == 1, share >= target).alias("meets_target"),
+    )
 
 
 def aiken(ratings: DataFrame, low: int, high: int, z: float = Z95) -> DataFrame:

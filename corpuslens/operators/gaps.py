@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import clipped, cosine
+from corpuslens.operators.running import quantile
 from corpuslens.operators.search import NOISE, against_all, beside, nearest_topics, nearest_two
 
 
@@ -97,7 +98,7 @@ def distant(rows: DataFrame, cents: DataFrame) -> DataFrame:
     else:
         total = F.aggregate(F.transform("cs", lambda c: 1 - cosine(F.col("vec"), c["centroid"])), F.lit(0.0), lambda s, x: s + x)
         mean = near.select("id", (total / F.size("cs")).alias("mean"))
-    cut = mean.agg(F.percentile("mean", F.lit(0.75)).alias("cut"))
+    cut = quantile(mean, "mean", 0.75, "cut")
     return mean.crossJoin(F.broadcast(cut)).filter(F.round("mean", 9) > F.round("cut", 9)).select("id", "mean")
 
 

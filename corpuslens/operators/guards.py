@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Needles that are matched by broadcasting, and their characters together; more are matched by their first words.
-NEEDLES, NEEDLE_CHARS = 2_000, 4_000_000
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
+#: Characters of the needles that are sent to the workers at once; more are searched for part by part.
+NEEDLE_CHARS = 4_000_000
 
 
 def folded(text: Column) -> Column:
@@ -23,21 +31,58 @@ def sensitive(df: DataFrame, columns: list[str], least_sentence: int) -> DataFra
     return parts.filter("needle <> ''").distinct()
 
 
-def leaks(df: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
-    """Needles that occur in the folded text, by document. Few needles are broadcast; else candidates share a run of three words."""
+class Finder:
+    """Which of some needles occur in a text: one pass over it by an Aho-Corasick automaton, needle by needle without that library."""
+
+    def __init__(self, needles: Sequence[str]):
+        self.needles = list(needles)
+        self.machine = None
+        if ahocorasick is not None and any(self.needles):
+            self.machine = ahocorasick.Automaton()
+            for k, needle in enumerate(self.needles):
+                if needle:
+                    self.machine.add_word(needle, k)
+            self.machine.make_automaton()
+
+    def find(self, text: str) -> list[str]:
+        if self.machine is None:
+            return [n for n in self.needles if n in text]
+        found = {k for _, k in self.machine.iter(text)}
+        return [n for k, n in enumerate(self.needles) if k in found or not n]
+
+
+def _search(needles: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(needles.value)
+        for batch in batches:
+            found = [finder.find(t) if t is not None else [] for t in batch.column("hay").to_pylist()]
+            at = [k for k, f in enumerate(found) for _ in f]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array([n for f in found for n in f], pa.string())], ["id", "needle"])
+
+    return run
+
+
+def leaks(df: DataFrame, id_col: str, text_col: str, needles: DataFrame, chars: int = NEEDLE_CHARS) -> DataFrame:
+    """Needles that occur in the folded text, by document. The needles are dealt to parts of about ``chars`` characters, and each part is looked
+    for in one pass over the texts, which are not moved."""
     hay = df.select(F.col(id_col).alias("id"), folded(F.col(text_col)).alias("hay"))
-    n, chars = needles.agg(F.count("*"), F.coalesce(F.sum(F.length("needle")), F.lit(0))).first()
-    if n <= NEEDLES and chars <= NEEDLE_CHARS:
-        return hay.crossJoin(F.broadcast(needles)).filter(F.contains("hay", "needle")).select("id", "needle")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(c, " ")) - 2)), lambda i: F.xxhash64(F.array_join(F.slice(F.split(c, " "), i, 3), " ")))
-    # a needle's second to fourth words are whole words of any text that holds it
-    long = needles.withColumn("words", F.split("needle", " "))
-    keyed = long.filter("size(words) >= 5").withColumn("key", F.xxhash64(F.array_join(F.slice("words", 2, 3), " ")))
-    found = hay.withColumn("key", F.explode(F.array_distinct(grams(F.col("hay"))))).join(keyed, "key").filter(F.contains("hay", "needle")).select("id", "needle").distinct()
-    short = long.filter("size(words) < 5").select("needle")
-    if short.count() > NEEDLES:
-        raise ValueError(f"more than {NEEDLES} needles of under five words")
-    return found.union(hay.crossJoin(F.broadcast(short)).filter(F.contains("hay", "needle")).select("id", "needle"))
+    wanted = needles.select("needle").filter("needle is not null").distinct()
+    parts = max(1, math.ceil((wanted.agg(F.sum(F.length("needle"))).first()[0] or 0) / chars))
+    placed = wanted.withColumn("part", F.pmod(F.xxhash64("needle"), F.lit(parts)))
+    schema = f"id {hay.schema['id'].dataType.simpleString()}, needle string"
+    out: DataFrame | None = None
+    for part in range(parts):
+        own = df.sparkSession.sparkContext.broadcast([r.needle for r in placed.filter(F.col("part") == part).select("needle").collect()])
+        found = hay.mapInArrow(_search(own), schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def refuse_leaks(found: DataFrame, what: str) -> None:
+    """Raises with the number of documents that leak, and never with what leaks."""
+    n = found.select("id").distinct().count()
+    if n:
+        raise ValueError(f"{n} {what} hold a sensitive string")
 
 
 def check(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

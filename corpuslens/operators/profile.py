@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.metadata import band
+from corpuslens.functions.text import approximate_sentences, line_breaks, packed
+from corpuslens.operators.running import best, running
 
 QUANTILES = (0.25, 0.5, 0.75, 0.95)
 
@@ -66,8 +68,8 @@ def concentration(df: DataFrame, key: str, top: int) -> DataFrame:
     """Distinct keys, rows, and the share of the ``top`` most frequent keys."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))
     whole = counts.agg(F.count("*").alias("distinct_keys"), F.sum("n").alias("n_rows"))
-    best = counts.orderBy(F.desc("n"), key).limit(top).agg(F.sum("n").alias("top_rows"))
-    return whole.crossJoin(best).withColumn("top_share", F.try_divide(F.col("top_rows").cast("double"), F.col("n_rows")))
+    leading = counts.orderBy(F.desc("n"), key).limit(top).agg(F.sum("n").alias("top_rows"))
+    return whole.crossJoin(leading).withColumn("top_share", F.try_divide(F.col("top_rows").cast("double"), F.col("n_rows")))
 
 
 def document_frequency(df: DataFrame, id_col: str, tokens: Column, least: float) -> DataFrame:
@@ -99,10 +101,9 @@ def streaks(df: DataFrame, order: str, fail: Column, by: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, score: str, id_cols: Sequence[str]) -> DataFrame:
-    """Mean rank of ties over n: 1.0 is the highest. Ranks come from counts of distinct scores, so no task sees all rows of a big table."""
+    """Mean rank of ties over n: 1.0 is the highest. Ranks come from counts of distinct scores, added up range by range."""
     counts = df.groupBy(score).agg(F.count("*").alias("m"))
-    w = W.orderBy(score)
-    placed = counts.withColumn("upto", F.sum("m").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("m").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    placed = running(counts, score, {"upto": "m"}).crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))
     twice = (2 * F.col("upto") - F.col("m") + 1).cast("long")
     return df.join(placed.select(score, twice.alias("twice_rank"), "total"), score).select(*id_cols, score, "twice_rank", "total", (F.col("twice_rank") / (2.0 * F.col("total"))).alias("percentile_rank"))
 
@@ -114,10 +115,9 @@ def mid_range(rank: DataFrame, low: tuple[int, int], high: tuple[int, int]) -> D
 
 
 def top_share(df: DataFrame, score: str, order: str, share: tuple[int, int]) -> DataFrame:
-    """The ceil(share * n) best rows, ties to the earlier one."""
-    n = df.count()
-    k = -(-n * share[0] // share[1])
-    return df.orderBy(F.desc(F.round(score, 9)), order).limit(k)
+    """The ceil(share * n) best rows, ties to the earlier one; in no order."""
+    k = -(-df.count() * share[0] // share[1])
+    return best(df.withColumn("rounded__", F.round(score, 9)), "rounded__", order, k).drop("rounded__")
 
 
 def stopword_recheck(df: DataFrame, id_col: str, tokens: Column, listed: DataFrame, least: float) -> DataFrame:
@@ -135,3 +135,60 @@ def length_profile(df: DataFrame, text: str, size: Column, limit: int) -> DataFr
     stats = [F.struct(F.lit(c).alias("measure"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).cast("long").alias("most")) for c in ("chars", "words", "tokens")]
     over = F.avg((F.col("tokens") > limit).cast("double")).alias("share_over_limit")
     return rows.agg(F.array(*stats).alias("s"), over).select(F.inline("s"), "share_over_limit")
+
+
+def code_profile(df: DataFrame, id_col: str, codes: str) -> DataFrame:
+    """Rows that hold each code, and each code's first two digits, once a row: level, code, n; rows without any are under (none)."""
+    each = df.select(id_col, F.explode(F.when(F.size(codes) > 0, F.col(codes)).otherwise(F.array(F.lit("(none)")))).alias("code"))
+    levels = F.inline(F.array(F.struct(F.lit("code").alias("level"), F.col("code").alias("value")), F.struct(F.lit("field").alias("level"), F.when(F.col("code") == "(none)", F.col("code")).otherwise(F.substring_index("code", ".", 1)).alias("value"))))
+    return each.select(id_col, levels).distinct().groupBy("level", F.col("value").alias("code")).agg(F.count("*").alias("n"))
+
+
+def keyword_profile(df: DataFrame, id_col: str, keywords: str, normal, top: int, by: str | None = None) -> DataFrame:
+    """Normalised keywords, once a row, the most frequent first; with how many keywords the rows have in the mean and how many rows have none."""
+    words = F.array_distinct(F.filter(F.transform(keywords, normal), lambda k: k != ""))
+    rows = df.select(id_col, *([by] if by else []), words.alias("w"))
+    best = ranked(rows.select(*([by] if by else []), F.explode("w").alias("keyword")), "keyword", top, [by] if by else [])
+    total = rows.agg(F.avg(F.size("w")).alias("mean_keywords"), F.count_if(F.size("w") == 0).alias("rows_without"))
+    return best.crossJoin(F.broadcast(total))
+
+
+def advisor_profile(df: DataFrame, advisor: str, notes: str, top: int) -> DataFrame:
+    """Rows with and without an advisor, distinct ones, the share of the busiest, and rows with a note."""
+    known = df.filter(F.col(advisor).isNotNull())
+    whole = df.agg(F.count(advisor).alias("with_advisor"), F.count_if(F.col(advisor).isNull()).alias("without_advisor"), F.count_if(F.size(notes) > 0).alias("with_note"))
+    return whole.crossJoin(concentration(known, advisor, top))
+
+
+def abstract_profile(df: DataFrame, text: str, limit: int) -> DataFrame:
+    """One row over the texts that there are: lengths, chunks of ``limit`` tokens that greedy packing of their sentences needs, line breaks, and defects
+    (none, blank, without a final mark)."""
+    t = F.trim(text)
+    there = df.filter(t != "")
+    sentences = approximate_sentences(F.col(text))
+    sizes = F.transform(sentences, lambda s: F.size(F.split(s, " ")))
+    rows = there.select(F.length(t).alias("chars"), F.size(sentences).alias("sentences"), packed(sizes, limit).alias("chunks"), line_breaks(F.col(text)).alias("b"), (~t.rlike(r"[.!?…][\"'»)]*$")).alias("open_end"))
+    got = rows.agg(
+        F.count("*").alias("texts"), F.avg("chars").alias("mean_chars"), F.median("chars").alias("median_chars"), F.max("chars").cast("long").alias("most_chars"), F.avg("sentences").alias("mean_sentences"),
+        F.sum("chunks").alias("chunks"), F.count_if(F.col("chunks") > 1).alias("more_than_one_chunk"), F.sum("b.breaks").alias("breaks"), F.sum("b.inside").alias("breaks_inside"), F.sum("b.hyphen").alias("breaks_after_hyphen"),
+        F.count_if("open_end").alias("open_ends"),
+    )
+    blank = df.agg(F.count_if(F.col(text).isNull()).alias("missing"), F.count_if(t == "").alias("blank"))
+    return got.crossJoin(blank)
+
+
+def metadata_profile(df: DataFrame, id_col: str, *, group: str, year: str, title: str, text: str, language: str, limit: int, top: int) -> dict[str, DataFrame]:
+    """The profile of a table of documents by name of its part; the table is cached once and read by all of them."""
+    rows = df.persist()
+    width = rows.withColumn("title_chars", F.length(title))
+    return {
+        "calendar": year_grid(rows, group, year),
+        "titles": describe(width, "title_chars"),
+        "title_histogram": histogram(width, "title_chars", 20),
+        "texts": abstract_profile(rows, text, limit),
+        "languages": ranked(rows, language, top),
+        "presence": completeness(rows, [group, year, title, text, language]),
+        "groups": bands(rows, group),
+        "duplicates": duplicate_groups(rows.filter(F.trim(text) != ""), [title, text]),
+        "frequent_groups": concentration(rows, group, top),
+    }

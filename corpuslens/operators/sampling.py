@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.operators.running import numbered
+
 
 def hash_order(seed: str, *parts: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)), 256)
@@ -35,8 +37,8 @@ def draw(rows: DataFrame, quotas: DataFrame, id_col: str, seed: str) -> DataFram
 
 def round_robin(rows: DataFrame, pool: str, id_col: str, groups: int, seed: str) -> DataFrame:
     """Deals rows, shuffled within pools, to groups one after the other, going on from pool to pool."""
-    order = W.orderBy(pool, hash_order(seed, pool, id_col), id_col)
-    return rows.withColumn("dealt", ((F.row_number().over(order) - 1) % groups + 1).cast("long"))
+    placed = numbered(rows, pool, hash_order(seed, pool, id_col), id_col, "place__")
+    return placed.withColumn("dealt", (F.col("place__") - 1) % groups + 1).drop("place__")
 
 
 def disjoint(pools: Sequence[tuple[str, DataFrame, int]], id_col: str, seed: str) -> DataFrame:

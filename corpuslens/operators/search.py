@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.vectors import as_double, clipped, cosine, dot, norm, unit
+from corpuslens.operators.blocks import Block, cells
+from corpuslens.operators.running import quantile
 
 NOISE = -1
 CENTROIDS = 10_000
@@ -79,6 +82,27 @@ def all_pairs(rows: DataFrame, blocks: int) -> DataFrame:
     return left.join(right, ["i", "j"]).filter("a < b").drop("i", "j")
 
 
+def pair_summary(rows: DataFrame, labels: DataFrame, block: int = 512) -> DataFrame:
+    """Pairs a < b by whether their labels are equal: same_topic, pairs, mean_score, max_score of their cosines. Blocks are multiplied and
+    summed up where they meet, so no pair is a row."""
+    tagged = rows.join(labels.select("id", F.xxhash64("label").alias("tag")), "id")
+
+    def fold(a: Block, b: Block, same: bool) -> pa.Table:
+        x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a.vecs, b.vecs))
+        out = []
+        for lo in range(0, len(x), 512):
+            scores, equal = x[lo : lo + 512] @ y.T, a.tags[lo : lo + 512, None] == b.tags
+            wanted = np.arange(lo, lo + len(scores))[:, None] < np.arange(len(y)) if same else np.ones(scores.shape, bool)
+            for flag in (True, False):
+                some = scores[wanted & (equal == flag)]
+                if len(some):
+                    out.append((flag, len(some), float(some.sum()), float(some.max())))
+        return pa.table(dict(zip(("same_topic", "n", "total", "most"), zip(*out, strict=True) if out else [()] * 4, strict=True)), schema=pa.schema([("same_topic", pa.bool_()), ("n", pa.int64()), ("total", pa.float64()), ("most", pa.float64())]))
+
+    parts = cells(tagged, block, fold, "same_topic boolean, n bigint, total double, most double")
+    return parts.groupBy("same_topic").agg(F.sum("n").alias("pairs"), (F.sum("total") / F.sum("n")).alias("mean_score"), F.max("most").alias("max_score"))
+
+
 def centroids(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Plain mean of the vectors of each label; noise has none."""
     long = rows.join(labels.filter(F.col("label") != NOISE), "id").select("label", F.posexplode("vec").alias("pos", "x"))
@@ -98,7 +122,9 @@ def member_similarities(rows: DataFrame, labels: DataFrame, cents: DataFrame) ->
 
 
 def atypical_threshold(members: DataFrame, percentile: float, per_topic: bool = False) -> DataFrame:
-    return members.groupBy(*["topic"] * per_topic).agg(F.percentile("sim", F.lit(percentile)).alias("threshold"))
+    if not per_topic:
+        return quantile(members, "sim", percentile, "threshold")
+    return members.groupBy("topic").agg(F.percentile("sim", F.lit(percentile)).alias("threshold"))
 
 
 def saturation(sizes: DataFrame, boundary: str = "lower") -> DataFrame:

@@ -60,23 +60,65 @@ def forecast(representations: Sequence[str], grid: Grid) -> dict[str, int]:
     return {"reductions": len(representations) * len(grid.seeds), "clusterings": n, "metric_calls": n, "stability_pairs": len(representations) * (len(grid.ks) + len(grid.sizes)) * len(grid.seeds) * (len(grid.seeds) - 1) // 2}
 
 
-def execute(vectors: Mapping[str, DataFrame], grid: Grid, reduce: Callable[[DataFrame, int, int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(labels of all runs, one row of metrics per run). ``reduce`` is a port: (rows, dimensions, seed) -> id, vec."""
+def execute(vectors: Mapping[str, DataFrame], grid: Grid, reduce: Callable[[DataFrame, int, int], DataFrame] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(labels of all runs, one row of metrics per run). ``reduce`` is a port: (rows, dimensions, seed) -> id, vec. ``keep`` writes a run's frame where
+    it stays (a checkpoint, by default) so that what was cached for it can go before the next."""
     reduce = reduce or (lambda rows, k, seed: learn.reduce(rows, k))
+    keep = keep or kept
     labels, rows = [], []
     for name, vec in vectors.items():
-        vec = vec.cache()
+        vec = vec.persist()
         for seed in grid.seeds:
-            small = reduce(vec, grid.dimensions, seed).cache()
+            small = reduce(vec, grid.dimensions, seed).persist()
             for run in (r for r in runs([name], grid) if r.seed == seed):
                 found = learn.kmeans(small, run.parameter, seed) if run.algorithm == "kmeans" else learn.density(small, run.parameter).select("id", "label")
-                found = found.withColumn("label", F.col("label").cast("int")).cache()
+                found = keep(found.select("id", F.col("label").cast("int").alias("label")))
                 key = [F.lit(v).alias(k) for k, v in ({"run_id": run.run_id} | asdict(run)).items()]
                 labels.append(found.select(*key, "id", "label"))
                 noise = found.agg(F.avg((F.col("label") == -1).cast("double")).alias("noise_fraction"))
-                rows.append(metrics.silhouette(vec, found).crossJoin(noise).select(*key, "*"))
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
-    return union(labels), union(rows)
+                rows.append(keep(metrics.silhouette(vec, found).crossJoin(noise)).select(*key, "*"))
+            small.unpersist()
+        vec.unpersist()
+    return _union(labels), _union(rows)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, if the session has a checkpoint folder, else cached."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        return df.persist()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def baseline(weights: DataFrame, ks: Sequence[int], seed: int, starts: int = 10) -> DataFrame:
+    """k-means on sparse term weights (doc, term, weight) of unit rows for each k: k, doc, label. The vectors stay sparse."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    names = weights.select("term").distinct().groupBy().agg(F.array_sort(F.collect_list("term")).alias("t")).select(F.posexplode("t").alias("at", "term"))
+    size = names.count()
+
+    @F.udf(VectorUDT())
+    def vector(cells):
+        return Vectors.sparse(size, sorted((c["at"], float(c["weight"])) for c in cells))
+
+    rows = weights.join(names, "term").groupBy("doc").agg(vector(F.collect_list(F.struct("at", "weight"))).alias("features")).persist()
+    out = []
+    for k in ks:
+        models = [KMeans(k=k, seed=seed + s, maxIter=50).fit(rows) for s in range(starts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+        out.append(best.transform(rows).select(F.lit(k).alias("k"), "doc", F.col("prediction").alias("label")))
+    return _union(out)
 
 
 def stability(labels: DataFrame, noise: str = "own_label") -> DataFrame:

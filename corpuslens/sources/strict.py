@@ -7,6 +7,7 @@ Only manifests and schemas are handled on the driver.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,14 +55,15 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def publish(spark: SparkSession, home: str, tables: Mapping[str, DataFrame], facts: Mapping[str, object]) -> dict:
-    """Writes all tables, then the manifest; a published run is never written again."""
+    """Writes all tables into a folder of this attempt, then the manifest that names it: a reader sees all tables of one attempt or none, whatever
+    crashed before. A published run is never written again."""
     if _read_text(spark, f"{home}/{MANIFEST}") is not None:
         raise FileExistsError(f"{home} is published")
-    entries = {}
+    entries, attempt = {}, f"tables-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{home}/{name}.parquet")
-        entries[name] = digest(spark.read.parquet(f"{home}/{name}.parquet"))
-    manifest = {"facts": dict(facts), "tables": entries}
+        df.write.mode("errorifexists").parquet(f"{home}/{attempt}/{name}.parquet")
+        entries[name] = digest(spark.read.parquet(f"{home}/{attempt}/{name}.parquet"))
+    manifest = {"facts": dict(facts), "tables": entries, "folder": attempt}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{home}/{MANIFEST}")
     return manifest
 
@@ -75,8 +77,12 @@ def manifest(spark: SparkSession, home: str) -> dict:
 
 def read_verified(spark: SparkSession, home: str, name: str, schema: StructType | None = None) -> DataFrame:
     """A published table that still has the rows and digest of its manifest."""
-    df = spark.read.parquet(f"{home}/{name}.parquet") if schema is None else read_strict(spark, f"{home}/{name}.parquet", schema)
-    if digest(df) != manifest(spark, home)["tables"][name]:
+    published = manifest(spark, home)
+    if name not in published["tables"]:
+        raise KeyError(f"{home} has no table {name}")
+    path = f"{home}/{published['folder']}/{name}.parquet"
+    df = spark.read.parquet(path) if schema is None else read_strict(spark, path, schema)
+    if digest(df) != published["tables"][name]:
         raise ValueError(f"{name} differs from its manifest")
     return df
 
