@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a bitmap for each of its keys, and its bits at most: 2^20 rows of 16 bytes are broadcast then, whatever the input.
 KEY_BITS, MOST_BITS = 8, 1 << 26
+#: Stored bytes of the input for each hash bucket; from MANY buckets on both grow with the square root, so that rows of messages stay packed.
+BUCKET_BYTES, MANY = 4 << 20, 1 << 14
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,14 +42,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def stored_bytes(df: DataFrame, text: str = "text") -> int:
+    """How large the table is: what its files take if it is read from files, else the bytes of its texts, counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    return df.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
+
+
 def buckets(df: DataFrame, text: str = "text") -> int:
-    """How many hash buckets messages are dealt to: it follows the cluster's shuffle width."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """How many hash buckets messages are dealt to: by the size of the table, and no fewer than the cluster's shuffle width."""
+    wanted = stored_bytes(df, text) / BUCKET_BYTES
+    if wanted > MANY:
+        wanted = math.sqrt(wanted * MANY)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(wanted))
 
 
-def dealt(df: DataFrame, key: str, n: int):
-    """``df`` by groups of the bucket number ``key``, in as many partitions as there are buckets."""
-    return df.repartition(n, key).groupBy(key)
+def dealt(df: DataFrame, key: str, n: int, *also: str):
+    """``df`` by groups of the bucket number ``key`` (and the columns ``also``), with a partition for each of the ``n`` buckets."""
+    return df.repartitionById(n, F.col(key)).groupBy(key, *also)
 
 
 def text_or_empty(text: str = "text") -> Column:

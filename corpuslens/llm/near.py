@@ -281,9 +281,9 @@ def verified(members: DataFrame, n: int, block: int = BLOCK, block_bytes: int =
     split = members.join(size, "root").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int"))
     pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
-    group = F.when(F.col("blocks") > 1, F.xxhash64("root", lo, hi)).otherwise(F.pmod(F.xxhash64("root"), F.lit(n)))
-    asked = pairs.select(group.alias("bucket"), "root", lo.alias("lo"), hi.alias("hi"), (F.col("blocks") > 1).alias("split"), "block", "ck", "copies", "t")
-    told = cut_lineage(dealt(asked, "bucket", n).applyInArrow(_verify, "ck bigint, grp bigint, links bigint, split boolean"))
+    bucket = F.pmod(F.xxhash64("root", lo, hi), F.lit(n)).cast("int")
+    asked = pairs.select(bucket.alias("bucket"), "root", lo.alias("lo"), hi.alias("hi"), (F.col("blocks") > 1).alias("split"), "block", "ck", "copies", "t")
+    told = cut_lineage(dealt(asked, "bucket", n, "lo", "hi").applyInArrow(_verify, "ck bigint, grp bigint, links bigint, split boolean"))
     whole = told.filter("not split").select("ck", "grp", "links")
     parts = told.filter("split")
     joined = components(parts.select(F.col("ck").alias("a"), F.col("grp").alias("b")))

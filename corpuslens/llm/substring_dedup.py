@@ -26,7 +26,7 @@ from corpuslens.llm.spans import PACKED, Words, bucket_of, counts, flat, lists,
 #: A perfect difference set: each shift modulo PERIOD is a difference of two of its places.
 PERIOD, COVER = 7, (0, 1, 3)
 WINDOW = 13
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 ASK, SEEN, TOLD = 0, 1, 2
 MESSAGE = "bucket int, kind int, keys array<bigint>, more array<int>, docs array<bigint>"
 

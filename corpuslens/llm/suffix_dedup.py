@@ -36,7 +36,7 @@ LENGTH, GAP, GRAM = 200, 104, 16
 KEY = LENGTH - GAP
 #: Bytes of a suffix that splitters look at, and how many suffixes are sampled for each bucket.
 LEAD, SAMPLES = 24, 8
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 ASK, SEEN, TOLD = 0, 1, 2
 MESSAGE = "bucket int, kind int, keys array<bigint>, rids array<bigint>, ats array<bigint>"
 SUFFIX = "part int, ctx binary, n_left int, copies int, rids array<bigint>, vals array<bigint>"
