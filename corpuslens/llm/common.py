@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS, MOST_BITS = 8, 1 << 26
 #: Stored bytes of the input for each hash bucket; from MANY buckets on both grow with the square root, so that rows of messages stay packed.
 BUCKET_BYTES, MANY = 4 << 20, 1 << 14
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,10 +40,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows, unless they are fewer: a batch of texts is held by the JVM and by the worker, and Spark's
+    own ten thousand rows of long texts fill both."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there; the shuffle files of the plan are deleted once it is written."""
     spark = df.sparkSession
     checkpoint_dir(spark)
+    small_batches(spark)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -106,6 +124,43 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFra
     return joined.select(*rows.columns, *(F.when(F.col("hk__").isNotNull(), F.col(f"hot__.{c}")).otherwise(F.col(f"g__.{c}")).alias(c) for c in cols))
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives on from task to task, and what one stage freed is not there for the next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that trims after each of them."""
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            trim()
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(fed(batches))
+        trim()
+
+    return trimmed
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function over groups that trims after a large one."""
+
+    def trimmed(table: pa.Table) -> pa.Table:
+        large = table.nbytes > 1 << 20
+        out = run(table)
+        del table
+        if large:
+            trim()
+        return out
+
+    return trimmed
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, in place on a uint64 array (splitmix64's constants)."""
     x ^= x >> np.uint64(30)

@@ -30,20 +30,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.llm.common import lean, small_batches, trim
+
 UNKNOWN = "und"
 BITS = 14
 BUCKETS = 1 << BITS
 #: Added to each count; trigrams of doubt in a share; EM steps; log-likelihood that a further language must gain, per log of trigrams.
 SMOOTH, DOUBT, STEPS, PENALTY = 0.5, 3, 10, 4.0
 #: Characters worked on at once, with no more than FEW languages; fewer with more.
-SLICE_CHARS, FEW = 1 << 19, 4
+SLICE_CHARS, FEW = 1 << 18, 4
 
 
 @lru_cache(1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Which characters are letters, and which letters or marks, that go on a letter's word."""
-    kinds = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    return np.array([k == "L" for k in kinds]), np.array([k in "LM" for k in kinds])
+    kinds = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), np.uint8)
+    return kinds == ord("L"), (kinds == ord("L")) | (kinds == ord("M"))
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +107,9 @@ class Languages:
 
 def learn(docs: DataFrame) -> Languages:
     """A model of the labelled documents (text, lang) given."""
+    small_batches(docs.sparkSession)
     rows = docs.filter("text is not null and lang is not null").select(F.col("text").alias("t"), "lang")
-    counted = rows.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInArrow(lean(_counts), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = tuple(sorted(counted["lang"].unique()))
     table = np.zeros((len(names), BUCKETS))
     if names:
@@ -226,6 +229,7 @@ def told(model: Languages):
     def run(texts: pd.Series) -> pd.DataFrame:
         texts = [t or "" for t in texts]
         parts = [_infer(model, texts[lo:hi], True) for lo, hi in _chunks(texts, len(model.names))]
+        trim()
         join = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0)
         return pd.DataFrame({"lang_pred": [n for names, _, _ in parts for n in names], "score": join(1), "known": join(2)})
 
@@ -234,7 +238,7 @@ def told(model: Languages):
 
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (the share of the language in the document, 0 to 1)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_predict(model)), "doc_id bigint, lang_pred string, score double")
 
 
 def remainder(doc_id: str, n: int) -> Column:

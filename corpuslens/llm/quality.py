@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import cut_lineage, mix64, text_or_empty
+from corpuslens.llm.common import cut_lineage, lean, mix64, text_or_empty
 from corpuslens.llm.languages import remainder
 from corpuslens.llm.spans import Words, flat, slices, text_buffers
 
@@ -83,7 +83,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """(VOCABULARY, DIMENSIONS) unit vectors, or zero where a word never occurs; gathered over the whole corpus."""
-    parts = docs.select(text_or_empty().alias("t")).mapInArrow(_contexts, "chunk int, sums array<bigint>")
+    parts = docs.select(text_or_empty().alias("t")).mapInArrow(lean(_contexts), "chunk int, sums array<bigint>")
     out = np.zeros((VOCABULARY // CHUNK, CHUNK * DIMENSIONS))
     for row in parts.repartition("chunk").mapInArrow(_add, "chunk int, sums array<bigint>").collect():
         out[row.chunk] = row.sums
@@ -118,7 +118,7 @@ def _pool(vectors: np.ndarray):
 
 def pooled(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     """One row per document: doc_id, x (FEATURES numbers)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).mapInArrow(_pool(vectors), "doc_id bigint, x array<float>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t")).mapInArrow(lean(_pool(vectors)), "doc_id bigint, x array<float>")
 
 
 @dataclass(frozen=True)

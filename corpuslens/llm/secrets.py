@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import cut_lineage, join_groups, maybe_in, text_or_empty
+from corpuslens.llm.common import cut_lineage, join_groups, lean, maybe_in, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: Mapping[str, R
     else:
         seen = _current(ledger, rules).groupBy("blob").agg(F.collect_set("kind").alias("seen"))
         todo = once.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter("size(todo) > 0")
-    return todo.select("blob", "t", "todo").mapInArrow(_scanner(rules), LEDGER)
+    return todo.select("blob", "t", "todo").mapInArrow(lean(_scanner(rules)), LEDGER)
 
 
 def update(docs: DataFrame, path: str, rules: Mapping[str, Rule] = RULES) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpuslens.llm.common import dealt, mix64
+from corpuslens.llm.common import dealt, lean_group, mix64
 
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,7 +142,7 @@ def unpack(table: pa.Table) -> pa.Table:
 
 def per_document(packed: DataFrame, name: str, n: int) -> DataFrame:
     """did, and the list of all its values as ``name``; ``n`` is the number of buckets that documents fall into."""
-    return dealt(packed, "dest", n).applyInArrow(unpack, "did bigint, vals array<bigint>").withColumnRenamed("vals", name)
+    return dealt(packed, "dest", n).applyInArrow(lean_group(unpack), "did bigint, vals array<bigint>").withColumnRenamed("vals", name)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, dealt, maybe_in, text_or_empty
+from corpuslens.llm.common import buckets, cut_lineage, dealt, lean, lean_group, maybe_in, text_or_empty
 from corpuslens.llm.spans import PACKED, Words, bucket_of, counts, flat, lists, pack, per_document, slices, spread, tagged, text_buffers
 
 #: A perfect difference set: each shift modulo PERIOD is a difference of two of its places.
@@ -205,16 +205,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     rows = docs.select(F.col("doc_id").cast("long").alias("did"), text_or_empty().alias("t"))
 
     def answers(sent: DataFrame, rule) -> DataFrame:
-        return per_document(dealt(sent, "bucket", n).applyInArrow(rule, PACKED), "keys", n)
+        return per_document(dealt(sent, "bucket", n).applyInArrow(lean_group(rule), PACKED), "keys", n)
 
-    live = cut_lineage(answers(rows.filter("did is not null").mapInArrow(_send_anchors(n, length), MESSAGE), live_keys(n)))
+    live = cut_lineage(answers(rows.filter("did is not null").mapInArrow(lean(_send_anchors(n, length)), MESSAGE), live_keys(n)))
     # texts without live anchors are not moved
     flagged = maybe_in(rows, "did", live.select("did"))
     doubtful = F.col("maybe") & F.col("did").isNotNull()
     some, others = flagged.filter(doubtful).drop("maybe"), flagged.filter(~doubtful).drop("maybe")
-    gone = answers(some.join(live, "did").mapInArrow(_send_windows(n, window, length), MESSAGE), later_keys(n))
+    gone = answers(some.join(live, "did").mapInArrow(lean(_send_windows(n, window, length)), MESSAGE), later_keys(n))
     told = some.join(gone, "did", "left").unionByName(others.withColumn("keys", F.lit(None).cast("array<bigint>")))
-    kept = told.mapInArrow(_cut(window, with_text), "did bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    kept = told.mapInArrow(lean(_cut(window, with_text)), "did bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
     return kept.withColumnRenamed("did", "doc_id")
 
 

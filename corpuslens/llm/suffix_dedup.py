@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, dealt, maybe_in, mix64, text_or_empty
+from corpuslens.llm.common import buckets, cut_lineage, dealt, lean, lean_group, maybe_in, mix64, text_or_empty
 from corpuslens.llm.spans import PACKED, bucket_of, counts, flat, lists, pack, per_document, powers, prefix_hash, runs, slices, text_buffers
 
 LENGTH, GAP, GRAM = 200, 104, 16
@@ -355,13 +355,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; and kept_text if asked for."""
     n = buckets(docs)
     rows = docs.select(F.col("doc_id"), text_or_empty().alias("t")).withColumn("rid", F.xxhash64("doc_id", "t"))
-    asked = dealt(rows.select("rid", "t").mapInArrow(_send(n), MESSAGE), "bucket", n).applyInArrow(live(n), PACKED)
+    asked = dealt(rows.select("rid", "t").mapInArrow(lean(_send(n)), MESSAGE), "bucket", n).applyInArrow(lean_group(live(n)), PACKED)
     # rows that repeat an id and its text ask for the same places
     twice = cut_lineage(per_document(asked, "ats", n).select(F.col("did").alias("rid"), F.array_distinct("ats").alias("ats")))
     # texts without a live suffix are not moved; the others once, for both joins
     flagged = maybe_in(rows, "rid", twice.select("rid"))
     some, others = flagged.filter("maybe").drop("maybe"), flagged.filter(~F.col("maybe")).drop("maybe")
-    shipped = some.join(twice, "rid").mapInArrow(_ship(_splitters(rows, twice, n), n), SUFFIX)
-    found = cut_lineage(per_document(dealt(shipped, "part", n).applyInArrow(compare(n), PACKED), "found", n).withColumnRenamed("did", "rid"))
+    shipped = some.join(twice, "rid").mapInArrow(lean(_ship(_splitters(rows, twice, n), n)), SUFFIX)
+    found = cut_lineage(per_document(dealt(shipped, "part", n).applyInArrow(lean_group(compare(n)), PACKED), "found", n).withColumnRenamed("did", "rid"))
     told = some.join(found, "rid", "left").unionByName(others.withColumn("found", F.lit(None).cast("array<bigint>")))
-    return told.select("doc_id", "t", "found").mapInArrow(_cut(with_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
+    return told.select("doc_id", "t", "found").mapInArrow(lean(_cut(with_text)), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * with_text)
