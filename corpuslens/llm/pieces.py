@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import text_or_empty
+from corpuslens.llm.common import lean, small_batches, text_or_empty
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: Parts that a worker keeps, and the longest of them.
-CACHE, CACHED_LENGTH = 220_000, 48
-#: Pairs whose compatibility a worker keeps.
-FITS = 500_000
+CACHE, CACHED_LENGTH = 120_000, 48
+#: Pairs of a piece and the longest at the place after it, of which a worker keeps what follows.
+NEXTS = 300_000
 ROWS = 256
 
 
@@ -97,9 +97,10 @@ class Model:
         self.shorter = [-1] * len(texts)
         for t, i in self.ids.items():
             self.shorter[i] = self._shorter(t)
-        self.fits: dict[int, bool] = {}
-        self.kept: dict[str, array] = {}
-        self.before: dict[str, array] = {}
+        self.nexts: dict[int, int] = {}
+        #: Parts and their ids, four bytes each.
+        self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _shorter(self, text: str) -> int:
         for n in range(len(text) - 1, 0, -1):
@@ -124,11 +125,17 @@ class Model:
 
     def compatible(self, a: int, b: int) -> bool:
         """Does merging the characters of both anew yield just the two?"""
-        known = self.merged(self.texts[a] + self.texts[b]) == [a, b]
-        if len(self.fits) >= FITS:
-            self.fits.clear()
-        self.fits[a << 20 | b] = known
-        return known
+        return self.merged(self.texts[a] + self.texts[b]) == [a, b]
+
+    def _next(self, a: int, b: int) -> int:
+        """The longest piece that ``b`` starts with and that may follow ``a``; -1 if there is none."""
+        at = b
+        while at >= 0 and not self.compatible(a, at):
+            at = self.shorter[at]
+        if len(self.nexts) >= NEXTS:
+            self.nexts.clear()
+        self.nexts[a << 20 | b] = at
+        return at
 
     def _part(self, part: str) -> list[int]:
         """Ids of one part."""
@@ -139,36 +146,33 @@ class Model:
         whole = self.ids.get(part)
         if whole is not None and self.found.exists(part):
             return [whole]  # the longest piece at its start
-        size, shorter, known, compatible = self.size, self.shorter, self.fits.get, self.compatible
+        size, shorter, known = self.size, self.shorter, self.nexts.get
         n = len(part)
         longest: list[int] = [-1] * n
         for end, i in self.found.iter(part):
             longest[end + 1 - size[i]] = i  # ends rise, so the last is the longest
-        failed = 0
-        taken: list[int] = []
+        failed, taken = 0, []
         at, last, token = 0, -1, longest[0]
         while True:
-            end = at + size[token]
-            if not failed >> end & 1:
-                if last < 0:
-                    fits = True
-                else:
-                    fits = known(last << 20 | token)
-                    if fits is None:
-                        fits = compatible(last, token)
-                if fits:
-                    taken.append(token)
-                    if end == n:
-                        return taken
-                    at, last, token = end, token, longest[end]
+            if last >= 0 and token >= 0:
+                follows = known(last << 20 | token)
+                token = self._next(last, token) if follows is None else follows
+            if token >= 0:
+                end = at + size[token]
+                if failed >> end & 1:
+                    token = shorter[token]
                     continue
+                taken.append(token)
+                if end == n:
+                    return taken
+                at, last, token = end, token, longest[end]
+                continue
+            # nothing fits here: shorten the piece before
+            failed |= 1 << at
+            token = taken.pop()
+            at -= size[token]
+            last = taken[-1] if taken else -1
             token = shorter[token]
-            while token < 0:  # nothing fits here: shorten the piece before
-                failed |= 1 << at
-                token = taken.pop()
-                at -= size[token]
-                last = taken[-1] if taken else -1
-                token = shorter[token]
 
     def _runs(self, part: str) -> list[str]:
         """The part cut around characters that have no piece."""
@@ -181,30 +185,23 @@ class Model:
                 run = ""
         return out + [run] * bool(run)
 
-    def __missing(self, part: str) -> array:
+    def _missing(self, part: str) -> bytes:
         """Ids of a part that is not among those met lately, which are kept in two generations."""
         ids = self.before.get(part)
         if ids is None:
-            ids = array("i", self._part(part))
+            ids = array("i", self._part(part)).tobytes()
         if len(part) <= CACHED_LENGTH:
             if len(self.kept) >= CACHE:
-                self.before, self.kept = self.kept, {}
+                self.before, self.kept = self.kept.copy(), self.kept
+                self.kept.clear()
             self.kept[part] = ids
         return ids
 
     def encode(self, text: str) -> array:
         out = array("i")
         if text:
-            kept, missing = self.kept, self.__missing
-            get = kept.get
-            for part in self.parts.findall(SPACE + text.replace(" ", SPACE)):
-                ids = get(part)
-                if ids is None:
-                    ids = missing(part)
-                    if self.kept is not kept:
-                        kept = self.kept
-                        get = kept.get
-                out += ids
+            get, missing = self.kept.get, self._missing
+            out.frombytes(b"".join([get(part) or missing(part) for part in self.parts.findall(SPACE + text.replace(" ", SPACE))]))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -236,8 +233,9 @@ def _run(path: str, decode: bool):
 
 def encode(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """One row per document: doc_id, ids; and decoded, the text made of the ids, if asked for."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("t"))
-    return rows.mapInArrow(_run(path, decode), "doc_id bigint, ids array<int>" + ", decoded string" * decode)
+    return rows.mapInArrow(lean(_run(path, decode)), "doc_id bigint, ids array<int>" + ", decoded string" * decode)
 
 
 def digest(coded: DataFrame) -> DataFrame:
