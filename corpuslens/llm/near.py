@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import buckets, cut_lineage, dealt, join_groups, maybe_in, mix64, text_or_empty
+from corpuslens.llm.common import buckets, cut_lineage, dealt, join_groups, lean, lean_group, maybe_in, mix64, text_or_empty
 from corpuslens.llm.spans import PACKED, SLICE_BYTES, Words, bucket_of, counts, flat, lists, per_document, slices, text_buffers
 from corpuslens.llm.substring_dedup import MESSAGE, ask, live_keys
 
@@ -35,7 +35,7 @@ HASHES = BANDS * ROWS
 STEPS, TOLERANCE = (16, 32, 64, HASHES), 1e-7
 MATRIX_ROWS = 1024
 #: Texts of a component that are verified together, and their bytes.
-BLOCK, BLOCK_BYTES = 4096, 16 << 20
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 _FACTORS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -283,7 +283,7 @@ def verified(members: DataFrame, n: int, block: int = BLOCK, block_bytes: int =
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     bucket = F.pmod(F.xxhash64("root", lo, hi), F.lit(n)).cast("int")
     asked = pairs.select(bucket.alias("bucket"), "root", lo.alias("lo"), hi.alias("hi"), (F.col("blocks") > 1).alias("split"), "block", "ck", "copies", "t")
-    told = cut_lineage(dealt(asked, "bucket", n, "lo", "hi").applyInArrow(_verify, "ck bigint, grp bigint, links bigint, split boolean"))
+    told = cut_lineage(dealt(asked, "bucket", n, "lo", "hi").applyInArrow(lean_group(_verify), "ck bigint, grp bigint, links bigint, split boolean"))
     whole = told.filter("not split").select("ck", "grp", "links")
     parts = told.filter("split")
     joined = components(parts.select(F.col("ck").alias("a"), F.col("grp").alias("b")))
@@ -298,10 +298,11 @@ def classes(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("t")).withColumn("key", F.unhex(F.sha2("t", 256)))
     texts = cut_lineage(rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     # a text's number, by which messages name it, is its place in a written table
-    signed = cut_lineage(rows.select("key", "t").mapInArrow(_sign, "key binary, sig binary, bands array<bigint>").dropDuplicates(["key"])).withColumn("ck", F.monotonically_increasing_id())
-    live = per_document(dealt(signed.select("ck", "bands").mapInArrow(_ask_bands(n), MESSAGE), "bucket", n).applyInArrow(live_keys(n), PACKED), "keys", n)
-    met = signed.select("ck", "sig").join(live, F.col("ck") == F.col("did")).select("ck", "sig", "keys").mapInArrow(_meet(n), GROUPS)
-    found = components(dealt(met, "bucket", n).applyInArrow(_edges, EDGES))
+    signed = cut_lineage(rows.select("key", "t").mapInArrow(lean(_sign), "key binary, sig binary, bands array<bigint>").dropDuplicates(["key"])).withColumn("ck", F.monotonically_increasing_id())
+    live = per_document(dealt(signed.select("ck", "bands").mapInArrow(lean(_ask_bands(n)), MESSAGE), "bucket", n).applyInArrow(lean_group(live_keys(n)), PACKED), "keys", n)
+    # a merge join, since a broadcast one would put two Python nodes, and so two workers a core, into one stage
+    met = signed.select("ck", "sig").join(live.hint("merge"), F.col("ck") == F.col("did")).select("ck", "sig", "keys").mapInArrow(lean(_meet(n)), GROUPS)
+    found = components(dealt(met, "bucket", n).applyInArrow(lean_group(_edges), EDGES))
     nodes = cut_lineage(signed.select("key", "ck").join(found, F.col("ck") == F.col("node")).join(texts, "key").select("key", "ck", "root", "copies"))
 
     doubtful = maybe_in(rows.select("key", "t"), "key", nodes.select("key")).filter("maybe")
