@@ -308,10 +308,12 @@ def classes(docs: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES)
     doubtful = maybe_in(rows.select("key", "t"), "key", nodes.select("key")).filter("maybe")
     members = doubtful.groupBy("key").agg(F.first("t").alias("t")).join(nodes, "key")
     told = cut_lineage(verified(members.select("root", "ck", "copies", "t"), n, block, block_bytes))
-    linked = told.join(nodes.select("ck", "key"), "ck").join(texts, "key")
+    linked = cut_lineage(told.join(nodes.select("ck", "key"), "ck").join(texts, "key").select("grp", "key", "rep", "links"))
     first = F.min(F.struct(F.col("rep").isNull().alias("null"), "rep", "key"))
-    least = linked.groupBy("grp").agg(first.alias("least"))
-    by_text = cut_lineage(texts.join(linked.join(least, "grp").select("key", "least", "links"), "key", "left").join(_wordless(rows), "key", "left"))
+    least = linked.groupBy("grp").agg(first.alias("least"), F.count("*").alias("n"))
+    # a class may hold any share of the texts
+    classed = join_groups(linked.select("grp", "key", "links"), least, "grp", "n").select("key", "least", "links")
+    by_text = cut_lineage(texts.join(classed, "key", "left").join(_wordless(rows), "key", "left"))
     links = F.when(F.col("none"), 0).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     return (
         join_groups(rows.select("id", "key"), by_text, "key", "copies")
