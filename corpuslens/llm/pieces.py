@@ -31,9 +31,9 @@ from corpuslens.llm.common import lean, small_batches, text_or_empty
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: Parts that a worker keeps, and the longest of them.
-CACHE, CACHED_LENGTH = 120_000, 48
+CACHE, CACHED_LENGTH = 320_000, 48
 #: Pairs of a piece and the longest at the place after it, of which a worker keeps what follows.
-NEXTS = 300_000
+NEXTS = 600_000
 ROWS = 256
 
 
