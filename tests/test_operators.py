@@ -221,7 +221,7 @@ def test_strict_tables(spark, tmp_path):
     assert strict.read_verified(spark, home, "t", SCHEMA).count() == 2 and strict.manifest(spark, home)["facts"] == {"seed": 7}
     with pytest.raises(FileExistsError):
         strict.publish(spark, home, {"t": df}, {})
-    df.limit(1).write.mode("overwrite").parquet(f"{home}/t.parquet")
+    df.limit(1).write.mode("overwrite").parquet(f"{home}/{strict.manifest(spark, home)['folder']}/t.parquet")
     with pytest.raises(ValueError, match="differs"):
         strict.read_verified(spark, home, "t")
     df.withColumn("extra", F.lit(1)).drop("x").write.parquet(f"{tmp_path}/u")
