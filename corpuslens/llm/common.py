@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a bitmap for each of its keys, and its bits at most: 2^20 rows of 16 bytes are broadcast then, whatever the input.
-KEY_BITS, MOST_BITS = 8, 1 << 26
+KEY_BITS, MOST_BITS = 16, 1 << 26
 #: Stored bytes of the input for each hash bucket; from MANY buckets on both grow with the square root, so that rows of messages stay packed.
 BUCKET_BYTES, MANY = 4 << 20, 1 << 14
 try:
@@ -91,7 +91,7 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, name: str = "maybe", most
     The keys are counted and make a bitmap of KEY_BITS bits each, which is broadcast; ``df`` is not moved. Too many keys for ``most`` bits are
     joined instead, as groups whose hot ones are salted; then ``df`` is shuffled, and the column is exact.
     """
-    bits = 1 << max(16, (KEY_BITS * keys.count() - 1).bit_length())
+    bits = 1 << max(20, (KEY_BITS * keys.count() - 1).bit_length())
     if bits > most:
         known = keys.select(F.col(key).alias("known__")).distinct()
         groups = df.groupBy(key).agg(F.count("*").alias("rows__")).join(known, F.col(key) == F.col("known__"), "left")
