@@ -1,7 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from corpuslens.functions import titles
 from corpuslens.operators import objectives, pages
+from corpuslens.queries import ORACLES, QUERIES
 
 
 def test_title_endings(spark):
@@ -71,6 +73,20 @@ def test_running_lines(spark):
     assert [r.lines_removed for r in got] == [3] * 6 + [0]
 
 
+def test_running_lines_as_their_sql(spark, tmp_path):
+    """Page numbers at the edge, spaces other than the plain one, final sigmas, line ends of other kinds, null and repeated ids."""
+    rows = [(i, "s", f"Head ΑΣ.\nbody {chr(97 + i)}\nmore {chr(97 + i)}\nvi.") for i in range(6)]
+    rows += [(i, "s", f"\u00a0\nΗΕΑΔ ασ {i}\u3000\nHead ασ.\nx{i}y\nPage {i}\u2003") for i in range(6, 12)]
+    rows += [(i, "t", f"12\r\n\t\nbody {i} {chr(97 + i)}\nend\u00a0 {i}\nHEAD İ") for i in range(12, 17)]
+    rows += [(17, "t", None), (18, "t", " \n\u00a0"), (19, None, "Head ΑΣ.\nvi\nx"), (20, "t", "head i"), (None, "t", "head i\nand\nthis"), (0, "t", "12\r\nhead i\nz"), (21, "t", "a\n13\r\nb\nxi"), (21, "t", "a\n13\r\nb\nxi")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {tuple(r) for r in con.execute(ORACLES["running_lines"]).fetchall()}
+    got = [tuple(r) for r in QUERIES["running_lines"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and sum(n for _, n in want) > 20
+
+
 def test_running_lines_need_enough_pages(spark):
     frame = spark.createDataFrame([("d", i, f"Head\nbody {i} x\nend {chr(97 + i)}") for i in range(4)], "doc string, page int, text string")
     assert {r.lines_removed for r in pages.remove_running_lines(frame, 1).collect()} == {0}
