@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.vectors import clipped, cosine
+from corpuslens.functions.vectors import clipped, cosine, dot, norm, unit
 from corpuslens.operators.running import quantile
-from corpuslens.operators.search import NOISE, against_all, beside, nearest_topics, nearest_two
+from corpuslens.operators.search import NOISE, nearest_topics, nearest_two
 
 
 def topic_sizes(labels: DataFrame) -> DataFrame:
@@ -91,18 +91,16 @@ def support(members: DataFrame, reference: int, least_runs: int, least_overlap:
 
 
 def distant(rows: DataFrame, cents: DataFrame) -> DataFrame:
-    """Documents whose mean cosine distance to all centroids is strictly above its third quartile."""
-    near = beside(rows, cents, "cs")
-    if near is None:
-        mean = against_all(rows, cents).groupBy("id").agg(F.avg(1 - cosine("vec", "centroid")).alias("mean"))
-    else:
-        total = F.aggregate(F.transform("cs", lambda c: 1 - cosine(F.col("vec"), c["centroid"])), F.lit(0.0), lambda s, x: s + x)
-        mean = near.select("id", (total / F.size("cs")).alias("mean"))
+    """Documents whose mean cosine distance to all centroids is strictly above its third quartile. The mean cosine is the product of the unit vector
+    with the mean of the unit centroids, so that a row meets one vector, however many the topics; a repeated id has one mean."""
+    each = cents.select(F.posexplode(unit("centroid")).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
+    middle = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("middle"))
+    near = rows.crossJoin(F.broadcast(middle)).filter("size(middle) > 0").select("id", (1 - dot("vec", "middle") / norm("vec")).alias("mean"))
+    mean = near.groupBy("id").agg(F.avg("mean").alias("mean")).persist()
     cut = quantile(mean, "mean", 0.75, "cut")
     return mean.crossJoin(F.broadcast(cut)).filter(F.round("mean", 9) > F.round("cut", 9)).select("id", "mean")
 
 
-
 def evidence(members: DataFrame, metadata: DataFrame) -> DataFrame:
     """One row per gap (members: gap_id, id): distinct documents, and its programs and years as sorted (key, n) arrays."""
     joined = members.select("gap_id", "id").distinct().join(metadata, "id")

@@ -297,3 +297,18 @@ def test_streams(spark, tmp_path):
     q = streams.window_counts(events, "ts", "k", "5 minutes", "1 minute").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.sql("SELECT n FROM w").collect()) == [1, 1]
+
+
+def test_distant_with_many_topics_and_a_repeated_id(spark):
+    """An id that repeats has the mean over its rows; a row without a vector has none."""
+    rng = np.random.default_rng(0)
+    x, c = rng.normal(size=(1200, 16)), rng.normal(size=(1000, 16))
+    ids = [*range(1199), 0]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, None)], "id bigint, vec array<double>")
+    cents = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c)], "topic int, centroid array<double>")
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    mean = 1 - cos.mean(axis=1)
+    per = np.array([(mean[0] + mean[-1]) / 2, *mean[1:-1]])
+    got = gaps.distant(rows, cents).collect()
+    assert {r.id for r in got} == set(np.flatnonzero(per > np.quantile(per, 0.75)).tolist()) and len(got) == 300
+    assert all(abs(r["mean"] - per[r.id]) < 1e-9 for r in got)
